@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.canon_list import map_to_list
 from tracefold.llm.collapse import collapse_runs, state_label
+from tracefold.llm.leaks import find_leaks
 from tracefold.llm.lookalike import alike_pairs, canonical, corpus_counts
 from tracefold.llm.nearest import nearest_in_time
+from tracefold.llm.packing import pack
+from tracefold.llm.splitting import split_texts
 from tracefold.session import read
 
 SCORES = ("TEAM_PREVIEW", "SELECTED_FOUR", "MOVE_MENU", "BATTLE_TEXT", "TRIGGER_NOTIFICATION", "RESULT")
@@ -80,6 +83,47 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("_left").alias("request_id"), F.col("_entity").alias("replay_id"), F.col("_right").alias("sample_index"))
 
 
+def _limits(spark: SparkSession, sf_dir: str, purpose: str) -> list:
+    """The few rows of size_limits with one purpose; a table of limits, so small by nature."""
+    return sorted(read(spark, sf_dir, "size_limits").where(F.col("purpose") == purpose).select("limit_id", "max_tokens", F.coalesce("overlap_tokens", F.lit(0)).alias("overlap")).collect())
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacities = {r.limit_id: r.max_tokens for r in _limits(spark, sf_dir, "container")}
+    return pack(read(spark, sf_dir, "documents"), "doc_id", "text", "source", capacities)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and filled share by limit."""
+    limits = read(spark, sf_dir, "size_limits").select("limit_id", "max_tokens")
+    boxes = p7_containers(spark, sf_dir).groupBy("limit_id").agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    return boxes.join(limits, "limit_id").select("limit_id", "max_tokens", "n_containers", "n_tokens", F.bround(F.col("n_tokens") / (F.col("n_containers") * F.col("max_tokens")), 6).alias("filled"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")
+    return find_leaks(docs, "doc_id", "text", items, "item_id", "text").select("doc_id", F.col("item_id").cast("int").alias("item_id"))
+
+
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each test item that leaked, with the number of documents that hold it."""
+    items = read(spark, sf_dir, "eval_items")
+    counts = p8_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    return items.select("item_id", "suite").join(counts, "item_id")
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = {r.limit_id: (r.max_tokens, r.overlap) for r in _limits(spark, sf_dir, "piece")}
+    return split_texts(read(spark, sf_dir, "documents"), "doc_id", "text", limits)
+
+
+def p9_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces by limit and kind of end."""
+    limits = {r.limit_id: (r.max_tokens, r.overlap) for r in _limits(spark, sf_dir, "piece")}
+    pieces = split_texts(read(spark, sf_dir, "documents"), "doc_id", "text", limits, with_text=False)
+    return pieces.groupBy("limit_id", "ends_at").agg(F.count(F.lit(1)).alias("n_pieces"), F.max("n_tokens").alias("most_tokens"))
+
+
 _P2 = """
 WITH s AS (SELECT DISTINCT ON (replay_id, sample_index) replay_id, sample_index, pts,
              regexp_replace(upper(regexp_replace(ui_state, '^[\\s\\-_]+|[\\s\\-_]+$', '', 'g')), '[\\s\\-_]+', '_', 'g') AS state,
@@ -103,4 +147,4 @@ FROM q JOIN i ON q.replay_id = i.replay_id AND i.t BETWEEN q.t - 0.1200001 AND q
 WHERE abs(i.t - q.t) <= 0.12 + 1e-9 GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_events, p3_found, p3_unmatched, p5_found, p5_forms, p6_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_events, p3_found, p3_unmatched, p5_found, p5_forms, p6_found, p7_containers, p7_fill, p8_found, p8_leaked_items, p9_pieces, p9_ends)}
