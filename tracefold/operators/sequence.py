@@ -41,3 +41,52 @@ def with_halo(df: DataFrame, position: str, size: int, halo: int, chunk: str = "
         lambda c: c.isNotNull() & (c >= 0),
     )
     return df.withColumn(chunk, F.explode(places)).withColumn(core, F.col(chunk) == F.floor(F.col(position) / size))
+
+
+def join_on(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` in which null equals null; the columns of ``left`` are kept once."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for c in cols:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(named, on, how).drop(*[f"_r_{c}" for c in cols])
+
+
+def lagged(df: DataFrame, keys: list[str], order: list[str], block: Column, prior: dict[str, Column]) -> DataFrame:
+    """``df`` with the value of each column of ``prior`` on the row before, per entity in ``order``.
+
+    ``block`` must not decrease along ``order``.  Rows are compared inside
+    blocks; a block's first row gets the last row of the block before it, from
+    one row per block.
+    """
+    rows = df.withColumn("_block", block).withColumn("_now", F.struct(*[c.alias(n) for n, c in prior.items()]))
+    at = F.struct(*order)
+    ahead = Window.partitionBy(*keys).orderBy("_block")
+    edges = rows.groupBy(*keys, "_block").agg(F.max_by("_now", at).alias("_end"))
+    edges = edges.withColumn("_carry", F.lag("_end").over(ahead)).drop("_end")
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    first = F.row_number().over(inside) == 1
+    rows = join_on(rows, edges, [*keys, "_block"])
+    rows = rows.withColumn("_was", F.when(first, F.col("_carry")).otherwise(F.lag("_now").over(inside)))
+    return rows.withColumns({n: F.col("_was")[n] for n in prior}).drop("_now", "_carry", "_was", "_block")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str) -> DataFrame:
+    """``df`` with the running sum of ``value`` up to each row, per entity in ``order``, added up over blocks."""
+    rows = df.withColumn("_block", block).withColumn("_x", value)
+    offsets = block_offsets(rows.groupBy(*keys, "_block").agg(F.sum("_x").alias("_s")), keys, "_block", {"_s": "_s0"})
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = join_on(rows, offsets, [*keys, "_block"])
+    return rows.withColumn(name, F.col("_s0") + F.sum("_x").over(inside)).drop("_x", "_s0", "_block")
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str) -> DataFrame:
+    """``df`` with the last value of ``value`` that is not null, at or before each row."""
+    rows = df.withColumn("_block", block).withColumn("_x", value)
+    at = F.struct(*order)
+    ahead = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.groupBy(*keys, "_block").agg(F.max_by("_x", F.when(F.col("_x").isNotNull(), at)).alias("_end"))
+    edges = edges.withColumn("_carry", F.last("_end", True).over(ahead)).drop("_end")
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = join_on(rows, edges, [*keys, "_block"])
+    return rows.withColumn(name, F.coalesce(F.last("_x", True).over(inside), F.col("_carry"))).drop("_x", "_carry", "_block")
