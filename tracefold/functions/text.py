@@ -138,13 +138,13 @@ def shortest_name(col: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(col, "[0-9/% ]+", " "), "|".join(STATUS_WORDS), " ")
     words = cjk_tokens(bare, 2, 8)
     least = F.array_min(F.transform(words, lambda w: F.length(w)))
-    return F.filter(words, lambda w: F.length(w) == least)[0]
+    return F.get(F.filter(words, lambda w: F.length(w) == least), 0)
 
 
 def single_marker(col: Column, digits: str = "1234") -> Column:
     """The one distinct digit of ``digits`` in a text; null for none or several."""
     found = F.array_distinct(F.regexp_extract_all(col, F.lit(f"[{digits}]"), 0))
-    return F.when(F.size(found) == 1, found[0].cast("int"))
+    return F.when(F.size(found) == 1, F.get(found, 0).try_cast("int"))
 
 
 def ellipsize(col: Column, limit: int) -> Column:

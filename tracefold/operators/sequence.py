@@ -71,13 +71,19 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], block: Column, prio
     return rows.withColumns({n: F.col("_was")[n] for n in prior}).drop("_now", "_carry", "_was", "_block")
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str) -> DataFrame:
-    """``df`` with the running sum of ``value`` up to each row, per entity in ``order``, added up over blocks."""
-    rows = df.withColumn("_block", block).withColumn("_x", value)
-    offsets = block_offsets(rows.groupBy(*keys, "_block").agg(F.sum("_x").alias("_s")), keys, "_block", {"_s": "_s0"})
+def running_sums(df: DataFrame, keys: list[str], order: list[str], block: Column, values: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums (new name to what is summed) up to each row, per entity in ``order``, added up over blocks."""
+    rows = df.withColumn("_block", block).withColumns({f"_x_{n}": v for n, v in values.items()})
+    blocks = rows.groupBy(*keys, "_block").agg(*[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in values])
+    offsets = block_offsets(blocks, keys, "_block", {f"_s_{n}": f"_0_{n}" for n in values})
     inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = join_on(rows, offsets, [*keys, "_block"])
-    return rows.withColumn(name, F.col("_s0") + F.sum("_x").over(inside)).drop("_x", "_s0", "_block")
+    rows = rows.withColumns({n: F.col(f"_0_{n}") + F.sum(f"_x_{n}").over(inside) for n in values})
+    return rows.drop("_block", *[f"_{k}_{n}" for n in values for k in "x0"])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str) -> DataFrame:
+    return running_sums(df, keys, order, block, {name: value})
 
 
 def last_known(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str) -> DataFrame:

@@ -41,7 +41,7 @@ def centred_median(df: DataFrame, keys: list[str], time: str, tie: str, value: s
     near = lambda v, t: F.when(F.abs(F.col(t) - F.col(time)) <= reach, F.col(v))
     three = F.array_sort(F.array_compact(F.array(near("_v0", "_t0"), F.col(value), near("_v1", "_t1"))))
     n = F.size(three)
-    median = F.when(n == 3, three[1]).when(n == 2, (three[0] + three[1]) / 2).otherwise(three[0])
+    median = F.when(n == 3, F.get(three, 1)).when(n == 2, (F.get(three, 0) + F.get(three, 1)) / 2).otherwise(F.get(three, 0))
     return rows.withColumn(name, F.when(F.col(value).isNotNull(), median)).drop("_v0", "_t0", "_v1", "_t1", "_neg", "_negtie")
 
 
@@ -52,12 +52,12 @@ def rolling_mode(df: DataFrame, keys: list[str], block: Column, order: list[str]
     count = lambda x: F.size(F.filter(votes, lambda y: y == x))
     most = F.array_max(F.transform(votes, count))
     rows = df.withColumn("_b", block).withColumn("_votes", F.collect_list(F.struct(F.col(value).alias("v"))).over(inside)).withColumn("_votes", F.transform("_votes", lambda x: x["v"]))
-    return rows.withColumn(name, F.filter(votes, lambda x: count(x) == most)[0]).drop("_b", "_votes")
+    return rows.withColumn(name, F.get(F.filter(votes, lambda x: count(x) == most), 0)).drop("_b", "_votes")
 
 
 def lower_percentile(values: Column, p: float) -> Column:
     """The value at index ``floor((n - 1) * p)`` of an ascending array."""
-    return F.element_at(values, F.floor((F.size(values) - 1) * p).cast("int") + 1)
+    return F.try_element_at(values, F.floor((F.size(values) - 1) * p).cast("int") + 1)
 
 
 def gap_distribution(df: DataFrame, keys: list[str], time: str, end: str, tie: str, edges: list[float]) -> DataFrame:

@@ -47,3 +47,58 @@ STATES = {"TEAM_PREVIEW": 0.5, "SELECTED_FOUR": 0.5, "MOVE_MENU": 0.5, "BATTLE_T
 
 # Least number of samples of a candidate interval.
 LEAST_SAMPLES = {"TEAM_PREVIEW": 2, "SELECTED_FOUR": 2, "MOVE_MENU": 2, "BATTLE_TEXT": 2, "TRIGGER_NOTIFICATION": 2, "RESULT": 2}
+
+# Which named group of a narration pattern plays which role, by kind of event.
+ROLES = {
+    "MOVE": {"actor": "subject", "move": "move"},
+    "ITEM": {"actor": "subject", "item": "item"},
+    "ABILITY": {"actor": "subject", "ability": "ability"},
+    "SWITCH": {"target": "pokemon"},
+    "FAINT": {"target": "subject"},
+    "DAMAGE_RESULT": {"target": "subject", "status": "status", "cause": "cause", "action": "action"},
+    "STATUS": {"target": "subject", "status": "status"},
+    "STAT_CHANGE": {"target": "subjects", "stat": "stat"},
+    "MOVE_RESULT": {"target": "target", "actor": "subject", "move": "move", "effect": "effect"},
+    "VOLATILE_STATUS": {"target": "subject", "effect": "effect", "counter": "counter", "move": "move", "action": "action"},
+    "SIDE_CONDITION": {"effect": "effect", "action": "action"},
+    "FIELD_EFFECT": {"effect": "effect", "counter": "counter"},
+    "WEATHER": {"weather": "weather", "action": "action"},
+    "TRANSFORMATION": {"actor": "subject", "action": "action"},
+    "BATTLE_RESULT": {"result": "result"},
+}
+
+# Limits of the look-back, kinds that bar it, and the rules in order of precedence.
+LOOK_BACK = 10.0
+LEAST_GAP = -2.0
+LINK_FROM = 0.85
+BARRIERS = ("MOVE", "SWITCH", "TRANSFORMATION", "BATTLE_RESULT")
+STANDALONE = BARRIERS + ("WEATHER", "TERRAIN", "FIELD_EFFECT", "SIDE_CONDITION", "ABILITY", "ITEM")
+_VSF = "VOLATILE_STATUS/SIDE_CONDITION/FIELD_EFFECT"
+# rule, source kind, target kinds, most gap, required pairs, optional pairs, relation, base, barred, mode, source condition, target condition
+RELATIONS = [
+    ("transformation.same_actor_phase", "TRANSFORMATION", "TRANSFORMATION", 10.0, "actor=actor", "", "SAME_ACTION", 0.98, True, "link", "action=activate", "action=change"),
+    ("switch.triggered_ability", "SWITCH", "ABILITY", 4.0, "participants=actor", "", "TRIGGERED_BY", 0.97, True, "link", "", ""),
+    ("move.actor_result_actor", "MOVE", "MOVE_RESULT", 4.0, "actor=actor", "move=move", "RESULT_OF", 0.96, True, "link", "", ""),
+    ("move.explicit_target_result", "MOVE", "MOVE_RESULT", 6.0, "target=target", "move=move", "RESULT_OF", 0.97, True, "link", "", ""),
+    ("move.explicit_target_damage", "MOVE", "DAMAGE_RESULT", 6.0, "target=target", "", "DAMAGE_FROM", 0.97, True, "link", "", ""),
+    ("move.explicit_target_status", "MOVE", "STATUS", 7.0, "target=target", "", "STATUS_FROM", 0.97, True, "link", "", ""),
+    ("move.explicit_target_stat_change", "MOVE", "STAT_CHANGE", 6.0, "target=target", "", "STAT_CHANGE_FROM", 0.96, True, "link", "", ""),
+    ("switch.same_target_stat_change", "SWITCH", "STAT_CHANGE", 4.0, "participants=target", "", "STAT_CHANGE_FROM", 0.94, True, "link", "", ""),
+    ("move.effect_match", "MOVE", _VSF, 6.0, "move=effect", "", "STATUS_FROM", 0.96, True, "link", "", ""),
+    ("move.self_stat_change", "MOVE", "STAT_CHANGE", 6.0, "actor=target", "", "STAT_CHANGE_FROM", 0.95, True, "link", "", ""),
+    ("move.recoil_damage", "MOVE", "DAMAGE_RESULT", 6.0, "actor=target", "", "DAMAGE_FROM", 0.98, True, "link", "", "cause=recoil"),
+    ("move.triggered_item", "MOVE", "ITEM", 4.0, "actor=actor", "", "TRIGGERED_BY", 0.94, True, "link", "", ""),
+    ("item.damage_same_actor", "ITEM", "DAMAGE_RESULT", 2.0, "actor=target", "", "DAMAGE_FROM", 0.95, True, "link", "", ""),
+    ("damage.faint_same_target", "DAMAGE_RESULT", "FAINT", 2.0, "target=target", "", "RESULT_OF", 0.98, True, "link", "", ""),
+    ("move_result.faint_same_target", "MOVE_RESULT", "FAINT", 2.0, "target=target", "", "RESULT_OF", 0.96, True, "link", "", ""),
+    ("damage.same_residual_batch", "DAMAGE_RESULT", "DAMAGE_RESULT", 0.8, "cause=cause,action=action", "status=status", "SAME_ACTION", 0.97, False, "link", "", ""),
+    ("volatile.same_counter_batch", "VOLATILE_STATUS", "VOLATILE_STATUS", 0.8, "effect=effect,action=action,counter=counter", "", "SAME_ACTION", 0.98, False, "link", "action=update", "action=update"),
+    ("battle_result.forfeit_then_win", "BATTLE_RESULT", "BATTLE_RESULT", 2.0, "", "", "FOLLOWED_BY", 0.96, True, "link", "result=forfeit", "result=win"),
+    ("temporal.move_result", "MOVE", "MOVE_RESULT", 5.0, "", "move=move,target=target", "TEMPORALLY_ADJACENT", 0.68, True, "review", "", ""),
+    ("temporal.move_damage", "MOVE", "DAMAGE_RESULT", 6.0, "", "target=target", "TEMPORALLY_ADJACENT", 0.61, True, "review", "", ""),
+    ("temporal.move_status", "MOVE", "STATUS", 7.0, "", "target=target", "TEMPORALLY_ADJACENT", 0.66, True, "review", "", ""),
+    ("temporal.move_stat_change", "MOVE", "STAT_CHANGE", 5.0, "", "target=target", "TEMPORALLY_ADJACENT", 0.64, True, "review", "", ""),
+    ("temporal.move_faint", "MOVE", "FAINT", 8.0, "", "target=target", "TEMPORALLY_ADJACENT", 0.58, True, "review", "", ""),
+    ("temporal.move_weather", "MOVE", "WEATHER", 4.0, "", "", "TEMPORALLY_ADJACENT", 0.62, True, "review", "", ""),
+    ("temporal.ability_stat_change", "ABILITY", "STAT_CHANGE", 2.0, "", "", "TEMPORALLY_ADJACENT", 0.65, True, "review", "", ""),
+]
