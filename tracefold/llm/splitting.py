@@ -40,7 +40,14 @@ def _char_marks() -> np.ndarray:
     global _marks
     if _marks is None:
         marks = np.zeros(0x110000, np.uint8)
-        for chars, mark in ((" \t\xa0　   ", _BLANK), ("\n\r  ", _BREAK), ("。！？!?…｡", _STOP), (".!?", _DOT), (",，、;；:：､", _CLAUSE), ("」』”’)）】》〉\"'", _CLOSE)):
+        for chars, mark in (
+            (" \t\u00a0\u3000\u2002\u2003\u2007\u2009\u202f", _BLANK),
+            ("\n\r\u0085\u2028\u2029", _BREAK),
+            ("。！？!?…｡", _STOP),
+            (".!?", _DOT),
+            (",，、;；:：､", _CLAUSE),
+            ("」』”’)）】》〉\"'", _CLOSE),
+        ):
             for c in chars:
                 marks[ord(c)] |= mark
         for c in "!?":
@@ -54,11 +61,15 @@ def boundaries(text: str) -> list[np.ndarray]:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     marks = _char_marks()[codes]
     after = np.append(marks[1:], _BREAK)
-    is_break, next_break = marks & _BREAK != 0, after & _BREAK != 0
-    line = is_break & ~next_break
-    # a line end before which another one stands closes a paragraph
-    before_break = np.append(False, is_break[:-1])
-    paragraph = line & before_break
+    # \r\n is one line end
+    is_break = (marks & _BREAK != 0) & ~((codes == 13) & (np.append(codes[1:], 0) == 10))
+    line = is_break & (after & _BREAK == 0)
+    # a line end closes a paragraph if nothing visible stands between it and the one before
+    seen = np.cumsum(marks & (_BLANK | _BREAK) == 0)
+    ends = np.flatnonzero(is_break)
+    paragraph = np.zeros(len(codes), bool)
+    paragraph[ends[1:][seen[ends[1:]] == seen[ends[:-1]]]] = True
+    paragraph &= line
     stop = (marks & _STOP != 0) | ((marks & _DOT != 0) & (after & (_BLANK | _BREAK | _CLOSE) != 0))
     for _ in range(2):
         # closing quotes and brackets belong to the sentence
@@ -95,7 +106,7 @@ class Splitter:
             kinds.append(k[ends[np.minimum(k, n - 1)] == offset] + 1)
         char_of = np.append(0, at_char)
         every = np.unique(np.concatenate(kinds))
-        out, s = [], 0
+        out, s, done = [], 0, 0
         while True:
             room = self.limit
             while True:
@@ -103,9 +114,14 @@ class Splitter:
                 size = e - s
                 if size > self.limit - 8:
                     size = self.tok.count(text[char_of[s] : char_of[e]])
+                if e <= done and s < done:
+                    # the overlap leaves no room for anything new
+                    s, room = done, self.limit
+                    continue
                 if size <= self.limit or room <= 1:
                     break
                 room = max(1, min(room, e - s) - max(1, size - self.limit))
+            done = e
             out.append((int(char_of[s]), int(char_of[e]), size, kind))
             if e >= n:
                 return out
