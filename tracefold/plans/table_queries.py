@@ -337,12 +337,12 @@ def stream_deliver_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH w AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, day, n FROM w WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+    "WITH w AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, CAST(day AS VARCHAR) AS day, n FROM w WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 )
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts that the watermark has closed."""
     rows = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return _drain(streams.windowed_counts(rows, "ts", "event_type", "1 day", "1 hour")).select("event_type", F.to_date("start").alias("day"), "n")
+    return _drain(streams.windowed_counts(rows, "ts", "event_type", "1 day", "1 hour")).select("event_type", F.to_date("start").cast("string").alias("day"), "n")
 
 
 @query()
