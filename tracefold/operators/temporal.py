@@ -56,10 +56,10 @@ def sessions(df: DataFrame, keys: list[str], start: str, end: str, tie: str, gap
 
 
 def targets(points: DataFrame, keys: list[str], time: str, interval: float) -> DataFrame:
-    """``keys, k, target``: every ``interval`` from an entity's first to its last time, the end included."""
+    """``keys, tick, target``: every ``interval`` from an entity's first to its last time, the end included."""
     spans = points.where(F.col(time).isNotNull()).groupBy(*keys).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
     ks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_b") - F.col("_a") + 1e-9) / interval))
-    return spans.select(*keys, "_a", F.explode(ks).alias("k")).select(*keys, "k", (F.col("_a") + F.col("k") * interval).alias("target"))
+    return spans.select(*keys, "_a", F.explode(ks).alias("tick")).select(*keys, "tick", (F.col("_a") + F.col("tick") * interval).alias("target"))
 
 
 def nearest_point(asks: DataFrame, points: DataFrame, keys: list[str], ask_time: str, point_time: str, payload: list[str]) -> DataFrame:

@@ -76,7 +76,7 @@ nearest AS (SELECT replay_id, k, target, CASE WHEN rt IS NULL OR abs(target - lt
 
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tables.plan(spark, sf_dir)
-    asks = temporal.targets(points, ["replay_id"], "t", 0.25)
+    asks = temporal.targets(points, ["replay_id"], "t", 0.25).withColumnRenamed("tick", "k")
     return temporal.nearest_point(asks, points, ["replay_id"], "target", "t", ["sample_index"])
 
 

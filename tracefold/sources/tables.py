@@ -49,14 +49,15 @@ def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``path, value``."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
 
 def scrape(df: DataFrame, text: str, pattern: str, names: list[str]) -> DataFrame:
     """One row per match of ``pattern`` with a column for each group, in order (``_pos``), entities decoded."""
     decode = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    hits = df.select(*[c for c in df.columns if c != text], F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("_pos", "_hit"))
-    return hits.select(*[c for c in df.columns if c != text], "_pos", *[decode(F.regexp_extract("_hit", pattern, i)).alias(n) for i, n in enumerate(names, 1)])
+    kept = [c for c in df.columns if c != text]
+    hits = df.select(*kept, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("_pos", "_hit"))
+    return hits.select(*kept, "_pos", *[decode(F.regexp_extract("_hit", pattern, i)).alias(n) for i, n in enumerate(names, 1)])
 
 
 def literal_fields(df: DataFrame, text: str, block: str, fields: dict[str, str]) -> DataFrame:
