@@ -54,6 +54,8 @@ def numbered(events: DataFrame, entity: str, start: str, end: str, event_id: str
 def proposals(events: DataFrame, rules: list[tuple], entity: str, start: str, end: str, event_id: str, kind: str, fields: str, confidence: str, barriers: tuple[str, ...], look_back: float, least_gap: float) -> DataFrame:
     """``entity, source, target, rule, rule_order, relation, mode, confidence, gap``: every rule that holds for a pair."""
     spark = events.sparkSession
+    # both sides of the join and the numbering read the events, which are costly to make again
+    events = cut_lineage(events.select(entity, start, end, event_id, kind, fields, confidence))
     seq = numbered(events, entity, start, end, event_id, kind, barriers)
     pick = [F.col(entity).alias("_e"), F.col(event_id).alias("id"), F.col(kind).alias("kind"), F.col(start).alias("a"), F.col(end).alias("z"), F.col(fields).alias("f"), F.col(confidence).alias("c"), "seq", "bars", "is_bar"]
     rows = seq.select(*pick)
