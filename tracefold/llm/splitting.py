@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,40 +80,52 @@ def boundaries(text: str) -> list[np.ndarray]:
     return [np.flatnonzero(f) + 1 for f in found]
 
 
+class Prepared:
+    """A text's tokens and the token positions at which it may be cut, for any limit."""
+
+    def __init__(self, tok: tokens.Tokenizer, text: str, ends: np.ndarray | None = None):
+        self.text = text
+        ends = tok.ends(text) if ends is None else ends
+        self.n = n = len(ends)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        # byte offset of each character, and of the text's end
+        offsets = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        at_char = offsets.searchsorted(ends)
+        whole = offsets[at_char] == ends
+        # position k: after k tokens
+        self.char_of = np.append(0, at_char)
+        self.safe = np.append(0, np.flatnonzero(whole) + 1)
+        # the token that ends with each character, 0 if none does
+        token_at = np.zeros(len(offsets), np.int64)
+        token_at[at_char[whole]] = np.flatnonzero(whole) + 1
+        kinds = [token_at[chars] for chars in boundaries(text)] if n else []
+        self.kinds = [k[k > 0] for k in kinds]
+        every = np.zeros(n + 1, bool)
+        for k in self.kinds:
+            every[k] = True
+        self.every = np.flatnonzero(every)
+
+
 class Splitter:
     def __init__(self, tok: tokens.Tokenizer, limit: int, overlap: int, least_fill: float = 0.5):
         if limit < 8 or overlap * 2 > limit or overlap < 0:
             raise ValueError("a limit must be at least 8 tokens and twice the overlap")
         self.tok, self.limit, self.overlap, self.least_fill = tok, limit, overlap, least_fill
 
-    def split(self, text: str, ends: np.ndarray | None = None, found: list[np.ndarray] | None = None) -> list[tuple[int, int, int, str]]:
+    def split(self, text: str | Prepared) -> list[tuple[int, int, int, str]]:
         """``(start, end, tokens, kind of end)`` in characters; empty if the text is within the limit."""
-        if ends is None:
-            ends = self.tok.ends(text)
-        n = len(ends)
+        ready = text if isinstance(text, Prepared) else Prepared(self.tok, text)
+        n, char_of = ready.n, ready.char_of
         if n <= self.limit:
             return []
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        starts = np.flatnonzero((raw & 0xC0) != 0x80)
-        at_char = np.searchsorted(starts, ends)
-        whole = np.append(starts, len(raw))[at_char] == ends
-        # position k: after k tokens
-        safe = np.append(0, np.flatnonzero(whole) + 1)
-        kinds = []
-        for chars in found if found is not None else boundaries(text):
-            offset = np.append(starts, len(raw))[chars]
-            k = np.searchsorted(ends, offset)
-            kinds.append(k[ends[np.minimum(k, n - 1)] == offset] + 1)
-        char_of = np.append(0, at_char)
-        every = np.unique(np.concatenate(kinds))
         out, s, done = [], 0, 0
         while True:
             room = self.limit
             while True:
-                e, kind = self._end(s, n, room, kinds, safe)
+                e, kind = self._end(s, n, room, ready.kinds, ready.safe)
                 size = e - s
                 if size > self.limit - 8:
-                    size = self.tok.count(text[char_of[s] : char_of[e]])
+                    size = self.tok.count(ready.text[char_of[s] : char_of[e]])
                 if e <= done and s < done:
                     # the overlap leaves no room for anything new
                     s, room = done, self.limit
@@ -125,17 +137,17 @@ class Splitter:
             out.append((int(char_of[s]), int(char_of[e]), size, kind))
             if e >= n:
                 return out
-            s = self._start(s, e, every, safe)
+            s = self._start(s, e, ready.every, ready.safe)
 
     def _end(self, s: int, n: int, room: int, kinds: list[np.ndarray], safe: np.ndarray) -> tuple[int, str]:
         if n - s <= room:
             return n, "end"
         least = s + max(self.overlap, int(room * self.least_fill))
         for name, places in zip(KINDS, kinds):
-            i = np.searchsorted(places, s + room, "right") - 1
+            i = places.searchsorted(s + room, "right") - 1
             if i >= 0 and places[i] > least:
                 return int(places[i]), name
-        i = np.searchsorted(safe, s + room, "right") - 1
+        i = safe.searchsorted(s + room, "right") - 1
         if safe[i] <= s:
             i += 1  # one character of more tokens than the limit leaves room for
         return int(safe[i]), "hard"
@@ -144,11 +156,11 @@ class Splitter:
         if not self.overlap:
             return e
         want, slack = e - self.overlap, max(1, self.overlap // 4)
-        a, b = np.searchsorted(every, want - slack), np.searchsorted(every, want + slack, "right")
+        a, b = every.searchsorted(want - slack), every.searchsorted(want + slack, "right")
         near = every[a:b]
         if len(near):
             want = int(near[np.argmin(np.abs(near - want))])
-        start = int(safe[np.searchsorted(safe, want)])
+        start = int(safe[safe.searchsorted(want)])
         return start if s < start < e else e
 
 
@@ -169,25 +181,38 @@ def split_texts(
     # a token holds a byte at least
     rows = rows.where(F.octet_length("_t") > least)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokens.load(vocabulary)
         splitters = [(k, Splitter(tok, *v)) for k, v in sorted(limits.items())]
         names = ["limit_id", "_id", "piece_no", "start_char", "end_char", "n_tokens", "ends_at"] + ["piece"] * with_text
         for batch in batches:
-            out, size = [], 0
-            for doc, text in zip(batch["_id"].tolist(), batch["_t"]):
+            kinds = [pa.int32(), batch.schema.field("_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns: list[list] = [[] for _ in names]
+            size = 0
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+            for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_t").to_pylist()):
                 ends = tok.ends(text)
                 if len(ends) <= least:
                     continue
-                found = boundaries(text)
+                ready = Prepared(tok, text, ends)
                 for limit_id, splitter in splitters:
-                    for no, (a, b, n, ends_at) in enumerate(splitter.split(text, ends, found)):
-                        out.append((limit_id, doc, no, a, b, n, ends_at, *([text[a:b]] * with_text)))
-                        size += b - a
+                    pieces = splitter.split(ready)
+                    if not pieces:
+                        continue
+                    starts, stops, counts, ends_at = zip(*pieces)
+                    parts = [[limit_id] * len(pieces), [doc] * len(pieces), range(len(pieces)), starts, stops, counts, ends_at]
+                    if with_text:
+                        parts.append([text[a:b] for a, b in zip(starts, stops)])
+                    for column, part in zip(columns, parts):
+                        column.extend(part)
+                    size += len(text)
                 if size > 1 << 21:
-                    yield pd.DataFrame(out, columns=names)
-                    out, size = [], 0
-            yield pd.DataFrame(out, columns=names)
+                    yield made()
+                    columns, size = [[] for _ in names], 0
+            yield made()
 
     schema = f"limit_id int, _id {kind}, piece_no int, start_char long, end_char long, n_tokens long, ends_at string" + ", piece string" * with_text
-    return rows.mapInPandas(run, schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
