@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracefold.operators.machines import fold
+
 
 def effective_weight(confidence: Column, frame_quality: Column, variant_quality: Column) -> Column:
     return confidence * (0.45 + 0.35 * frame_quality + 0.2 * variant_quality)
@@ -77,13 +78,16 @@ def similar_clusters(votes: DataFrame, keys: list[str], text: str, weight: str,
     distinct texts, not of its rows.
     """
     by_text = votes.where(F.length(text) > 0).groupBy(*keys, text).agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("weight"))
-    schema = ", ".join(f"`{c}` {by_text.schema[c].dataType.simpleString()}" for c in [*keys, text]) + ", n long, weight double, cluster int"
+    rows = by_text.withColumn("weight", F.col("weight").cast("double"))
+
+    def step(held: list, row: tuple) -> list[tuple]:
+        held.append(row)
+        return []
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(text)
-        return group.assign(cluster=cluster_texts(list(zip(group[text], group["weight"])), least))
+    def end(held: list) -> list[tuple]:
+        return [(*row, cluster) for row, cluster in zip(held, cluster_texts([(t, w) for t, _, w in held], least))]
 
-    return by_text.groupBy(*keys).applyInPandas(fold, schema)
+    return fold(rows, keys, [text], [text, "n", "weight"], list, step, f"`{text}` string, n long, weight double, cluster int", end)
 
 
 def near_duplicates(rows: DataFrame, keys: list[str], time: str, end: str, tie: str, text: str, similarity, least: float, gap: tuple[float, float]) -> DataFrame:
