@@ -62,3 +62,8 @@ def test_limits(spark):
     rows = [("1", "a", 0, 1), ("2", "a", 1, 2), ("3", "a", 5, 6), ("4", "a", 100, 101)]
     got = {tuple(r) for r in periods_and_gaps(frame(spark, rows), "iid", ["k"], "s", "e", min_members=2, max_gap=10).collect()}
     assert got == {("a", "period", 0, 2), ("a", "gap", 2, 5)}
+
+
+def test_numbers_out_of_range_are_left_out(spark):
+    df = spark.createDataFrame([("1", "a", float("inf"), 3.0), ("2", "a", 1.0, float("nan")), ("3", "a", 1.0, 2.0)], "iid string, k string, s double, e double")
+    assert [tuple(r) for r in periods_and_gaps(df, "iid", ["k"], "s", "e").collect()] == [("a", "period", 1, 2)]

@@ -63,6 +63,18 @@ def test_nulls_repeats_and_empty(spark):
     assert flags(frame(spark, [])) == set()
 
 
+def test_infinite_times_and_values(spark):
+    values = wobbling(60, 30)
+    values[12] = 20.0
+    rows = [*series(values), ("i", "a", math.inf, 60.0), ("j", "a", -math.inf, 60.0), ("k", "a", math.nan, 60.0), ("l", "b", 1.0, math.inf), ("m", "b", 2.0, -math.inf)]
+    assert flags(frame(spark, rows)) == {("a00012", "excursion"), ("l", "impossible"), ("m", "impossible")}
+
+
+def test_ties_in_time_go_by_id(spark):
+    rows = [(i, s, 0.0, v) for i, s, _, v in series(wobbling(60, 12) + [20.0] + wobbling(60, 12))]
+    assert flags(frame(spark, rows)) == {("a00012", "excursion")}
+
+
 def test_context_fences(spark):
     values = [50.0 + (i % 5) for i in range(100)] + [99.0, -3.0]
     out = context_fences(frame(spark, series(values)), "oid", ["src"], "t", "v").collect()

@@ -7,8 +7,8 @@ all rows is swept by many tasks.  A period starts where the count leaves zero
 and ends where it returns; at one instant plus comes before minus, so touching
 intervals form one period and an interval of no length is one.
 
-Nulls and odd input: rows with a null start or end, or whose end lies before the
-start, are left out; a null id is one id, null keys are ordinary values; repeated
+Nulls and odd input: rows with a null start or end (or one that is no whole
+number in range), or whose end lies before the start, are left out; a null id is one id, null keys are ordinary values; repeated
 deliveries of one id count once (its smallest row); an empty table gives empty
 results; other columns are ignored.
 """
@@ -24,7 +24,7 @@ from tracefold.operators.sequence import block_offsets
 
 def clean_intervals(df: DataFrame, id_col: str, keys: list[str], start_col: str, end_col: str) -> DataFrame:
     """``_k0.., _s, _e`` of one row per id; ``start_col`` and ``end_col`` must be whole numbers."""
-    row = F.struct(F.col(start_col).cast("long").alias("_s"), F.col(end_col).cast("long").alias("_e"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    row = F.struct(F.col(start_col).try_cast("long").alias("_s"), F.col(end_col).try_cast("long").alias("_e"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     rows = df.select(F.col(id_col).alias("_id"), row.alias("_row")).where("_row._s IS NOT NULL AND _row._e IS NOT NULL AND _row._e >= _row._s")
     return rows.groupBy("_id").agg(F.min("_row").alias("_row")).select("_row.*")
 

@@ -40,9 +40,9 @@ IQR_TO_SIGMA = 1.3489795
 
 def _readings(df: DataFrame, id_col: str, keys: list[str], order_col: str, value_col: str) -> DataFrame:
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = df.where(F.col(value_col).isNotNull()).select(
+    rows = df.where(F.col(value_col).try_cast("double").isNotNull()).select(
         F.col(id_col).alias("_id"),
-        F.struct(F.col(order_col).cast("double").alias("_t"), F.col(value_col).cast("double").alias("_v"), *[F.col(k).alias(n) for k, n in zip(keys, names)]).alias("_row"),
+        F.struct(F.col(order_col).try_cast("double").alias("_t"), F.col(value_col).try_cast("double").alias("_v"), *[F.col(k).alias(n) for k, n in zip(keys, names)]).alias("_row"),
     )
     return rows.groupBy("_id").agg(F.min("_row").alias("_row")).select("_id", "_row.*")
 

@@ -27,7 +27,7 @@ def p1_context_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _millis(df: DataFrame) -> DataFrame:
-    return df.withColumns({"_start_ms": F.round(F.col("start_time") * 1000).cast("long"), "_end_ms": F.round(F.col("end_time") * 1000).cast("long")})
+    return df.withColumns({"_start_ms": F.round(F.col("start_time") * 1000).try_cast("long"), "_end_ms": F.round(F.col("end_time") * 1000).try_cast("long")})
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
