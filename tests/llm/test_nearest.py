@@ -31,5 +31,7 @@ def test_ties_bounds_nulls_and_empty(spark):
     items = [(7, "x", 1.5), (3, "x", 0.5), (9, None, 1.0), (4, "x", None), (5, "x", 5.6), (6, "x", math.nan)]
     assert pair(spark, asks, items) == {("a", "x", 3), (None, "x", 3)}
     assert pair(spark, [], items) == set() == pair(spark, asks, [])
+    far = [("p", "x", math.inf), ("q", "x", -1e300), ("r", "x", 1e300)]
+    assert pair(spark, far, [(1, "x", math.inf), (2, "x", -1e300), (3, "x", 1e300)]) == {("q", "x", 2), ("r", "x", 3)}
     with pytest.raises(ValueError):
         pair(spark, asks, items, 0)

@@ -68,6 +68,8 @@ def test_pack(spark):
                 fill[r.container] = fill.get(r.container, 0) + r.n_tokens
                 size[r.id] = size.get(r.id, 0) + r.n_tokens
         assert size == want and max(fill.values()) <= capacity
+    named = pack(df.selectExpr("'d' || id AS id", "text", "source"), "id", "text", "source", {1: 64}).select("id").distinct().count()
+    assert named == len(want)
     assert pack(df.limit(0), "id", "text", "source", {1: 64}).count() == 0
     with pytest.raises(ValueError):
         pack(df, "id", "text", "source", {1: 0})

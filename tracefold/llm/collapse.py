@@ -127,14 +127,14 @@ def collapse_runs(
     if anchor not in ("previous", "first"):
         raise ValueError("anchor must be previous or first")
     names = [f"_x{i}" for i in range(len(features))]
-    order = F.col(order_col).cast("long")
+    order = F.col(order_col).try_cast("long")
     rows = df.where(order.isNotNull()).select(
         F.col(entity).cast("string").alias("_e"),
         (F.floor(order / block) if anchor == "previous" else F.lit(0).cast("long")).alias("_b"),
         order.alias("_o"),
-        F.col(time_col).cast("double").alias("_t"),
+        F.col(time_col).try_cast("double").alias("_t"),
         label.alias("_l"),
-        *[c.cast("double").alias(n) for c, n in zip(features, names)],
+        *[c.try_cast("double").alias(n) for c, n in zip(features, names)],
     )
     rows = rows.repartition("_e", "_b").sortWithinPartitions("_e", "_b", "_o", "_t", "_l", *names)
 

@@ -288,10 +288,10 @@ def find_leaks(
     least; ``min_share``: least share of the item's shingles in the stretch,
     about the product of both.
     """
-    stated = items.select(F.col(item_id).cast("long").alias("_item"), F.col(item_text).alias("_text")).where("_item IS NOT NULL AND _text IS NOT NULL").distinct()
+    stated = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text")).where("_item IS NOT NULL AND _text IS NOT NULL").distinct()
     total = stated.agg(F.sum(F.length("_text"))).collect()[0][0] or 0
     blocks = max(1, -(-total // BLOCK_LETTERS))
-    corpus = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text_col).alias("_t")).where("_t IS NOT NULL")
+    corpus = docs.select(F.col(doc_id).alias("_doc"), F.col(text_col).alias("_t")).where("_t IS NOT NULL")
     found = None
     for b in range(blocks):
         rows = [(r._item, r._text) for r in stated.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b).collect()]
@@ -310,7 +310,7 @@ def find_leaks(
                     queue.clear()
                     owners.clear()
 
-                for doc, text in zip(batch["_doc"], batch["_t"]):
+                for doc, text in zip(batch["_doc"].tolist(), batch["_t"]):
                     for piece in _pieces(letters(text), 2 * index.longest):
                         queue.append(piece)
                         owners.append(doc)
@@ -321,6 +321,6 @@ def find_leaks(
                 flush()
                 yield pd.DataFrame(out, columns=["d", "i", "s"])
 
-        part = corpus.mapInPandas(search, "d long, i long, s double")
+        part = corpus.mapInPandas(search, f"d {corpus.schema['_doc'].dataType.simpleString()}, i {stated.schema['_item'].dataType.simpleString()}, s double")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("d", "i").agg(F.max("s").alias("share")).select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "share")

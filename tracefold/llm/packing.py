@@ -40,7 +40,7 @@ SHARD = 4096
 def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
     """``_id, _size, _source, _cluster`` of every text that is not blank; the cluster is that of texts equal up to case and blanks."""
     rows = df.select(
-        F.col(id_col).cast("long").alias("_id"),
+        F.col(id_col).alias("_id"),
         F.col(text_col).alias("_t"),
         F.col(source_col).cast("string").alias("_source"),
         F.xxhash64(F.regexp_replace(F.lower(text_col), r"\s+", " ")).alias("_cluster"),
@@ -52,7 +52,7 @@ def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary
             batch = batch[batch["_t"].str.strip().str.len() > 0]
             yield pd.DataFrame({"_id": batch["_id"], "_size": [tok.count(t) for t in batch["_t"]], "_source": batch["_source"], "_cluster": batch["_cluster"]})
 
-    return rows.mapInPandas(measure, "_id long, _size long, _source string, _cluster long")
+    return rows.mapInPandas(measure, f"_id {rows.schema['_id'].dataType.simpleString()}, _size long, _source string, _cluster long")
 
 
 def best_fit(items: list[tuple[int, int, str | None, int | None]], capacity: int, sources: str = "prefer") -> list[tuple[int, int, int, int, int]]:
@@ -130,5 +130,5 @@ def pack(
         rows = [(limit, f"{limit}-{at}-{box}", item, part, start, size) for limit, capacity in limits for box, item, part, start, size in best_fit(items, capacity, sources)]
         return pd.DataFrame(rows, columns=["limit_id", "container", "_id", "part", "start_token", "n_tokens"])
 
-    packed = measured.groupBy("_shard").applyInPandas(run, "limit_id int, container string, _id long, part int, start_token long, n_tokens long")
+    packed = measured.groupBy("_shard").applyInPandas(run, f"limit_id int, container string, _id {measured.schema['_id'].dataType.simpleString()}, part int, start_token long, n_tokens long")
     return packed.withColumnRenamed("_id", id_col)
