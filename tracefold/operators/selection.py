@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.functions.scores import cosine
 from tracefold.operators.machines import fold
 
 MOST_TEMPLATES = 10_000
@@ -19,18 +20,30 @@ def class_templates(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def best_template(df: DataFrame, key: str, vector: str, templates: DataFrame) -> DataFrame:
-    """Each row with the template most like it: ``key, label, score``; ties to the smaller label.
+    """Each row with the template most like it by cosine: ``key, label, score``; ties to the smaller label, null for a zero vector.
 
-    Templates are a checked small set, so each row meets all of them in place.
+    Templates are a checked small set; each batch of rows meets them as one matrix product.
     """
-    rows = [(r.label, list(r.template)) for r in templates.limit(MOST_TEMPLATES + 1).collect()]
+    rows = sorted((r.label, list(r.template)) for r in templates.limit(MOST_TEMPLATES + 1).collect())
     if len(rows) > MOST_TEMPLATES:
         raise ValueError("too many templates to compare with each row")
-    table = df.sparkSession.createDataFrame(rows, templates.schema)
-    packed = F.broadcast(table.agg(F.collect_list(F.struct("label", "template")).alias("_all")))
-    scored = F.transform("_all", lambda t: F.struct((-cosine(F.col(vector), t["template"])).alias("s"), t["label"].alias("l")))
-    out = df.join(packed).withColumn("_b", F.array_min(scored))
-    return out.select(key, F.col("_b.l").alias("label"), (-F.col("_b.s")).alias("score"))
+    labels = [r[0] for r in rows]
+    kind = templates.schema["label"].dataType.simpleString()
+
+    @F.pandas_udf(f"label {kind}, score double")
+    def best(vectors: pd.Series) -> pd.DataFrame:
+        table = np.array([r[1] for r in rows])
+        table = table / np.linalg.norm(table, axis=1, keepdims=True)
+        got = np.stack([np.asarray(v, float) for v in vectors])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scores = got @ table.T / np.linalg.norm(got, axis=1, keepdims=True)
+        scores = np.where(np.isnan(scores), -np.inf, scores)
+        at = scores.argmax(1)
+        top = scores[np.arange(len(at)), at]
+        return pd.DataFrame({"label": [labels[i] for i in at], "score": np.where(np.isinf(top), np.nan, top)})
+
+    out = df.where(F.col(vector).isNotNull()).select(key, best(F.col(vector)).alias("_b"))
+    return out.select(key, F.when(~F.isnan("_b.score"), F.col("_b.label")).alias("label"), F.nanvl("_b.score", F.lit(None).cast("double")).alias("score"))
 
 
 def interval_frames(intervals: DataFrame, samples: DataFrame, keys: list[str], span: tuple[str, str], interval_id: str, time: str, position: str, score: str, bucket: float = 30.0) -> DataFrame:

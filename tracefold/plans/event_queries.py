@@ -55,14 +55,14 @@ _NAMES = f"regexp_extract_all(regexp_replace(regexp_replace(raw_text, '[0-9/% ]+
     with_tables("oc")
     + f""", p AS (SELECT request_id, {_A} AS a, {_B} AS b, {_PCT} AS pct, CASE {_WORDS} END AS status_word, {_NAMES} AS names,
   list_distinct(regexp_extract_all(raw_text, '[1234]')) AS marks FROM oc WHERE raw_text IS NOT NULL AND role = 'status_sample')
-SELECT request_id, CASE WHEN a <= b AND b > 0 THEN a END AS current_hp, CASE WHEN a <= b AND b > 0 THEN b END AS max_hp, CASE WHEN pct <= 100 THEN pct::DOUBLE END AS percent, status_word,
-list_filter(names, lambda x: length(x) = list_min(list_transform(names, lambda y: length(y))))[1] AS name, CASE WHEN len(marks) = 1 THEN marks[1]::INT END AS marker FROM p"""
+SELECT request_id, CASE WHEN a <= b AND b > 0 THEN a::DOUBLE END AS current_hp, CASE WHEN a <= b AND b > 0 THEN b::DOUBLE END AS max_hp, CASE WHEN pct <= 100 THEN pct::DOUBLE END AS percent, status_word,
+list_filter(names, lambda x: length(x) = list_min(list_transform(names, lambda y: length(y))))[1] AS name, CASE WHEN len(marks) = 1 THEN marks[1]::DOUBLE END AS marker FROM p"""
 )
 def reading_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("raw_text")
     rows = tables.ocr(spark, sf_dir).where("raw_text IS NOT NULL AND role = 'status_sample'")
     exact = tx.exact_fraction(c)
-    return rows.select("request_id", exact["current"].alias("current_hp"), exact["most"].alias("max_hp"), tx.percentage(c).alias("percent"), tx.status_word(c).alias("status_word"), tx.shortest_name(c).alias("name"), tx.single_marker(c).alias("marker"))
+    return rows.select("request_id", exact["current"].cast("double").alias("current_hp"), exact["most"].cast("double").alias("max_hp"), tx.percentage(c).alias("percent"), tx.status_word(c).alias("status_word"), tx.shortest_name(c).alias("name"), tx.single_marker(c).cast("double").alias("marker"))
 
 
 @query(

@@ -316,11 +316,11 @@ _OBJECT = r'\{"seq": \d+, [^{}\n]*\}'
 
 @query(
     f"""WITH o AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_OBJECT}')) AS hit FROM documents WHERE kind = 'json' AND text IS NOT NULL)
-SELECT doc_id, count(*) AS n_objects, count(*) FILTER (json_valid(hit)) AS n_valid, CAST(sum(CASE WHEN json_valid(hit) THEN CAST(hit ->> 'seq' AS BIGINT) END) AS BIGINT) AS sum_seq FROM o GROUP BY 1"""
+SELECT doc_id, count(*) AS n_objects, count(*) FILTER (json_valid(hit)) AS n_valid, CAST(sum(CASE WHEN json_valid(hit) THEN CAST(hit ->> 'seq' AS BIGINT) END) AS DOUBLE) AS sum_seq FROM o GROUP BY 1"""
 )
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects inside documents, read under a schema; those that do not parse are counted."""
     docs = read(spark, sf_dir, "documents").where("kind = 'json' AND text IS NOT NULL")
     hits = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_OBJECT), 0)).alias("hit"))
     rows = hits.withColumn("row", F.from_json("hit", "seq long, actor string, move string, hp double, note string"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_objects"), F.count("row.seq").alias("n_valid"), F.sum("row.seq").alias("sum_seq"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_objects"), F.count("row.seq").alias("n_valid"), F.sum("row.seq").cast("double").alias("sum_seq"))

@@ -48,7 +48,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every period with its number of members and greatest number of intervals at once, and the gap before it."""
     made = sweep(_both(spark, sf_dir), "_id", KEYS4, "_start_ms", "_end_ms")
-    return made.select(*KEYS4, F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "members", "max_active", (F.col("start") - F.col("gap_start")).alias("gap_ms"))
+    return made.select(*KEYS4, F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "members", "max_active", (F.col("start") - F.col("gap_start")).cast("double").alias("gap_ms"))
 
 
 _CLEAN = """
@@ -79,7 +79,7 @@ UNION ALL SELECT source_table, replay_id, type, 'gap', prev, a FROM p WHERE a -
     "p4_periods": _CLEAN
     + """, x AS (SELECT source_table, replay_id, type, s AS t, 1 AS d FROM i UNION ALL SELECT source_table, replay_id, type, e, -1 FROM i),
 y AS (SELECT *, sum(d) OVER (PARTITION BY source_table, replay_id, type ORDER BY t, d DESC ROWS UNBOUNDED PRECEDING) AS active FROM x)
-SELECT p.source_table, p.replay_id, p.type, a AS start_ms, b AS end_ms, members, CAST(max(active) AS BIGINT) AS max_active, a - prev AS gap_ms
+SELECT p.source_table, p.replay_id, p.type, a AS start_ms, b AS end_ms, members, CAST(max(active) AS BIGINT) AS max_active, CAST(a - prev AS DOUBLE) AS gap_ms
 FROM p JOIN y ON p.source_table = y.source_table AND p.replay_id = y.replay_id AND p.type = y.type AND y.t BETWEEN a AND b
 GROUP BY ALL""",
 }

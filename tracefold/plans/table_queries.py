@@ -45,8 +45,8 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, round_even(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
-WHERE c_mktsegment = 'HOUSEHOLD' AND o_orderdate < DATE '1999-03-15' AND l_shipdate > DATE '1999-03-15' GROUP BY o_orderkey, o_orderdate ORDER BY revenue DESC, o_orderkey LIMIT 10"""
+    """SELECT o_orderkey, round_even(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+WHERE c_mktsegment = 'HOUSEHOLD' AND o_orderdate < DATE '1999-03-15' AND l_shipdate > DATE '1999-03-15' GROUP BY o_orderkey, orders.o_orderdate ORDER BY revenue DESC, o_orderkey LIMIT 10"""
 )
 def shipping_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten open orders of most value: the limit is the report."""
@@ -55,7 +55,7 @@ def shipping_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").where("l_shipdate > DATE '1999-03-15'")
     rows = li.join(o.join(c, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     out = rows.groupBy("o_orderkey", "o_orderdate").agg(F.bround(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
-    return out.orderBy(F.desc("revenue"), "o_orderkey").limit(10).select("o_orderkey", "revenue", "o_orderdate")
+    return out.orderBy(F.desc("revenue"), "o_orderkey").limit(10).select("o_orderkey", "revenue", F.to_date("o_orderdate").cast("string").alias("o_orderdate"))
 
 
 @query(
@@ -118,7 +118,7 @@ def approximate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("event_type", F.hll_sketch_estimate("h").alias("n_users"), F.kll_sketch_get_quantile_double("q", F.lit(0.5)).alias("median_value"))
 
 
-@query("PIVOT (SELECT kind, upper(replace(lang, '_', '-')) AS l FROM documents WHERE lang IS NOT NULL) ON l IN ('ZH-TW', 'EN', 'JA') USING count(*) GROUP BY kind")
+@query("SELECT kind, count(*) FILTER (l = 'ZH-TW') AS \"ZH-TW\", count(*) FILTER (l = 'EN') AS \"EN\", count(*) FILTER (l = 'JA') AS \"JA\" FROM (SELECT kind, upper(replace(lang, '_', '-')) AS l FROM documents WHERE lang IS NOT NULL) GROUP BY kind")
 def language_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").where("lang IS NOT NULL").select("kind", F.upper(F.replace("lang", F.lit("_"), F.lit("-"))).alias("l"))
     out = rows.groupBy("kind").pivot("l", ["ZH-TW", "EN", "JA"]).agg(F.count(F.lit(1)))
@@ -220,13 +220,13 @@ def rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_tables("hp")
     + """, a AS (SELECT DISTINCT entry_id, lower(regexp_replace(unnest([zh_tw, en, showdown_id]), '[^\\p{L}\\p{N}]', '', 'g')) AS alias FROM match_reference WHERE kind = 'species'),
 q AS (SELECT observation_id, lower(regexp_replace(identity_text, '[^\\p{L}\\p{N}]', '', 'g')) AS alias FROM hp WHERE identity_text IS NOT NULL)
-SELECT observation_id, CASE count(entry_id) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS status, CASE WHEN count(entry_id) = 1 THEN min(entry_id) END AS entry_id FROM q LEFT JOIN a ON q.alias = a.alias GROUP BY 1"""
+SELECT observation_id, CASE count(entry_id) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS status, CASE WHEN count(entry_id) = 1 THEN min(entry_id)::DOUBLE END AS entry_id FROM q LEFT JOIN a ON q.alias = a.alias GROUP BY 1"""
 )
 def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
     aliases = read(spark, sf_dir, "match_reference").where("kind = 'species'").select(F.col("kind").alias("block"), "entry_id", F.explode(F.array("zh_tw", "en", "showdown_id")).alias("n")).select("block", "entry_id", key("n").alias("alias"))
     asks = tables.hp(spark, sf_dir).where("identity_text IS NOT NULL").select("observation_id", key("identity_text").alias("name"), F.lit("species").alias("block"))
-    return review.resolve_names(asks, "observation_id", "name", "block", aliases).select("observation_id", "status", "entry_id")
+    return review.resolve_names(asks, "observation_id", "name", "block", aliases).select("observation_id", "status", F.col("entry_id").cast("double").alias("entry_id"))
 
 
 @query(

@@ -143,10 +143,10 @@ def window_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("replay_id", "window.session").agg(F.count(F.lit(1)).alias("n_texts"))
 
 
-@query(_WIN + "SELECT t.event_id, CAST(min(session) AS BIGINT) AS window_no FROM t LEFT JOIN w ON t.replay_id = w.replay_id AND start_time BETWEEN a AND z GROUP BY 1")
+@query(_WIN + "SELECT t.event_id, CAST(min(session) AS DOUBLE) AS window_no FROM t LEFT JOIN w ON t.replay_id = w.replay_id AND start_time BETWEEN a AND z GROUP BY 1")
 def first_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tables.events(spark, sf_dir).where("type = 'BATTLE_TEXT'").select("replay_id", "event_id", "start_time")
-    return temporal.first_containing(points, _windows(spark, sf_dir), ["replay_id"], "start_time", "a", "z", "session").select("event_id", "window_no")
+    return temporal.first_containing(points, _windows(spark, sf_dir), ["replay_id"], "start_time", "a", "z", "session").select("event_id", F.col("window_no").cast("double").alias("window_no"))
 
 
 _HP = with_tables("hp")
@@ -225,11 +225,11 @@ def value_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH e AS (SELECT * FROM events WHERE event_type IN ('signup', 'purchase')), l AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nt, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ne FROM e) "
-    "SELECT event_id, epoch_us(nt) - epoch_us(ts) AS open_us, coalesce(ne = 'purchase', false) AS ended FROM l WHERE event_type = 'signup'"
+    "SELECT event_id, CAST(epoch_us(nt) - epoch_us(ts) AS DOUBLE) AS open_us, coalesce(ne = 'purchase', false) AS ended FROM l WHERE event_type = 'signup'"
 )
 def open_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windows.open_close(_events(spark, sf_dir), ["user_id"], "s", "event_id", F.col("event_type") == "signup", F.col("event_type") == "purchase")
-    return out.select("event_id", F.round((F.col("closed") - F.col("s")) * 1e6).cast("long").alias("open_us"), "ended")
+    return out.select("event_id", F.round((F.col("closed") - F.col("s")) * 1e6).alias("open_us"), "ended")
 
 
 @query(f"WITH f AS (SELECT event_id, user_id, ts, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 1 ELSE 0 END AS new FROM events) SELECT event_id, CAST(sum(new) OVER {_BY_USER} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_seen FROM f")
