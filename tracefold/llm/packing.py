@@ -16,8 +16,9 @@ shard, and each shard is packed on its own, so a source or cluster with a third
 of all items is spread like any other; a shard's last containers are the only
 space that packing as one whole could save.
 
-Nulls and odd input: null and blank texts have no size and are left out; a null
-source or cluster conflicts with nothing; repeated ids count once (the smallest
+Nulls and odd input: null and blank texts have no size and are left out, and so
+are rows without an id, which could not be told apart; a null source or cluster
+conflicts with nothing; repeated ids count once (the smallest
 size, source and cluster); ties in size are ordered by id; an empty table gives
 an empty result.
 """
