@@ -50,6 +50,15 @@ def additive(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, fate.alias("fate"))
 
 
+def not_allowed(observed: DataFrame, allowed: DataFrame, columns: list[str]) -> DataFrame:
+    """Observed rows whose ``columns`` match no allowed row exactly; null matches null."""
+    on = F.lit(True)
+    a, b = observed.alias("a"), allowed.select(*columns).distinct().alias("b")
+    for c in columns:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, on, "left_anti")
+
+
 def report(checks: dict[str, DataFrame]) -> DataFrame:
     """``check, violations`` of all expectations, those without violations too."""
     counts = [df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations") for name, df in checks.items()]

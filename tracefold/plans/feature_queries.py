@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import scores as sc
 from tracefold.functions import text as tx
-from tracefold.operators import selection, temporal, windows
+from tracefold.operators import selection, temporal, voting, windows
 from tracefold.operators.sequence import lagged
 from tracefold.plans import tables
+from tracefold.plans.event_queries import _EVENTS, narration
+from tracefold.plans.fixed_values import FACT_TYPES, VARIANT_WEIGHTS
 from tracefold.plans.tables import with_tables
-from tracefold.plans.time_queries import _BY_HP, _HP, SOURCE
+from tracefold.plans.time_queries import _BY_HP, _HP, _WIN, SOURCE, _windows
 from tracefold.session import read
 
 QUERIES: dict = {}
@@ -324,3 +326,56 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_OBJECT), 0)).alias("hit"))
     rows = hits.withColumn("row", F.from_json("hit", "seq long, actor string, move string, hp double, note string"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_objects"), F.count("row.seq").alias("n_valid"), F.sum("row.seq").cast("double").alias("sum_seq"))
+
+
+_FACT = "CASE " + " ".join(f"WHEN kind = '{k}' AND action = '{a}' THEN '{t}'" for (k, a), t in FACT_TYPES.items()) + " ELSE 'UNRESOLVED_EVENT' END"
+
+
+@query(_EVENTS + f"SELECT {_FACT} AS fact_type, count(*) AS n, count(DISTINCT e) AS n_replays FROM e0 GROUP BY 1")
+def fact_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the type of fact that they state; the type table is joined, what it lacks is unresolved."""
+    table = spark.createDataFrame([(k, a, t) for (k, a), t in FACT_TYPES.items()], "kind string, action string, fact_type string")
+    rows = narration(spark, sf_dir).withColumn("action", F.col("fields")["action"])
+    typed = rows.join(F.broadcast(table), ["kind", "action"], "left").withColumn("fact_type", F.coalesce("fact_type", F.lit("UNRESOLVED_EVENT")))
+    return typed.groupBy("fact_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("replay_id").alias("n_replays"))
+
+
+@query(
+    with_tables("oc")
+    + f""", v AS (SELECT request_id, confidence AS c, generate_subscripts(preprocessing, 1) AS i, unnest(preprocessing) AS step FROM oc WHERE preprocessing IS NOT NULL)
+SELECT step, count(*) AS n, round_even(sum(round_even(c * (0.45::DOUBLE + 0.35::DOUBLE * c + 0.2::DOUBLE * [{", ".join(map(str, VARIANT_WEIGHTS))}][least(i, {len(VARIANT_WEIGHTS)})]::DOUBLE), 9)), 4) AS weight FROM v GROUP BY 1"""
+)
+def variant_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of each preparation step by effective weight."""
+    rows = tables.ocr(spark, sf_dir).where("preprocessing IS NOT NULL").select("confidence", F.posexplode("preprocessing").alias("i", "step"))
+    quality = F.get(F.array(*[F.lit(w) for w in VARIANT_WEIGHTS]), F.least(F.col("i"), F.lit(len(VARIANT_WEIGHTS) - 1)))
+    weight = voting.effective_weight(F.col("confidence"), F.col("confidence"), quality)
+    return rows.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.bround(F.sum(F.bround(weight, 9)), 4).alias("weight"))
+
+
+@query(
+    with_tables("gr", "ev")
+    + ", x AS (SELECT timeline_id, generate_subscripts(event_ids, 1) AS i, unnest(event_ids) AS event_id FROM gr) SELECT timeline_id, count(*) AS n_found, array_to_string(list(ev.type ORDER BY i), '>') AS types, round_even(min(ev.confidence), 6) AS confidence FROM x JOIN ev USING (event_id) GROUP BY 1"
+)
+def group_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each group in the group's order."""
+    refs = tables.groups(spark, sf_dir).select("timeline_id", F.posexplode("event_ids").alias("i", "event_id"))
+    rows = refs.join(tables.events(spark, sf_dir).select("event_id", "type", "confidence"), "event_id")
+    out = rows.groupBy("timeline_id").agg(F.count(F.lit(1)).alias("n_found"), F.array_sort(F.collect_list(F.struct("i", "type"))).alias("x"), F.bround(F.min("confidence"), 6).alias("confidence"))
+    return out.select("timeline_id", "n_found", F.array_join(F.transform("x", lambda s: s["type"]), ">").alias("types"), "confidence")
+
+
+@query(
+    _WIN
+    + """, o AS (SELECT t.replay_id, 0 AS segment, count(*) AS n_texts, max(start_time) AS last_text FROM t LEFT JOIN (SELECT replay_id, min(a) AS a FROM w GROUP BY 1) f USING (replay_id) WHERE f.a IS NULL OR start_time < f.a GROUP BY 1),
+s AS (SELECT w.replay_id, CAST(session AS BIGINT) AS segment, count(*) AS n_texts, max(start_time) AS last_text FROM w JOIN t ON t.replay_id = w.replay_id AND start_time >= a AND (start_time < z OR last) GROUP BY ALL)
+SELECT replay_id, CAST(segment AS BIGINT) AS segment, n_texts, round_even(last_text, 6) AS last_text FROM (SELECT * FROM o UNION ALL SELECT * FROM s)"""
+)
+def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narration by segment: the opening (0) before the first menu, then one for each menu window, the last without an end."""
+    texts = tables.events(spark, sf_dir).where("type = 'BATTLE_TEXT'").select("replay_id", "event_id", "start_time")
+    windows_ = _windows(spark, sf_dir).select("replay_id", "session", F.col("a").alias("start_time"))
+    # a window's number carried forward over texts and window starts in one sequence
+    marks = windows_.select("replay_id", "start_time", F.lit("").alias("event_id"), "session").unionByName(texts.withColumn("session", F.lit(None).cast("long")))
+    rows = windows.last_per_key(marks, ["replay_id"], "start_time", "event_id", F.col("session"), "segment").where("event_id <> ''")
+    return rows.groupBy("replay_id", F.coalesce("segment", F.lit(0).cast("long")).alias("segment")).agg(F.count(F.lit(1)).alias("n_texts"), F.bround(F.max("start_time"), 6).alias("last_text"))

@@ -26,7 +26,7 @@ NARRATION = [
     TextRule("weather.started", "WEATHER", "開始下(?P<weather>雨|雪|冰雹)了[!]", 0.98, (), {"action": "start"}),
     TextRule("weather.ended", "WEATHER", "(?P<weather>雨|雪|冰雹|日照)停了[!]", 0.98, (), {"action": "end"}),
     TextRule("terrain.changed", "TERRAIN", "(?P<terrain>青草場地|電氣場地|精神場地|薄霧場地)(?P<verb>出現|展開|消失|結束|恢復原狀)了?[!]", 0.94),
-    TextRule("field.activated", "FIELD_EFFECT", "聽過(?P<effect>滅亡之歌)的寶可夢(?P<counter>[0-9]+)回合後就會滅亡[!]", 0.97, (), {"action": "activate"}),
+    TextRule("field.activated", "FIELD_EFFECT", "聽過(?P<effect>滅亡之歌)的.+?(?P<counter>[0-9]+)回合後就會滅亡[!]", 0.97, (), {"action": "activate"}),
     TextRule("side_condition.tailwind_started", "SIDE_CONDITION", "從(?P<side>對手)?身後吹起了順風[!]", 0.98, (), {"action": "start", "effect": "順風"}),
     TextRule("side_condition.tailwind_ended", "SIDE_CONDITION", "(?P<side>對手的)?順風停止了[!]", 0.98, (), {"action": "end", "effect": "順風"}),
     TextRule("volatile.counter_updated", "VOLATILE_STATUS", "(?P<subject>.+?)的(?P<effect>滅亡計時)變成(?P<counter>[0-9]+)了?[!]", 0.98, (), {"action": "update"}),
@@ -102,3 +102,42 @@ RELATIONS = [
     ("temporal.move_weather", "MOVE", "WEATHER", 4.0, "", "", "TEMPORALLY_ADJACENT", 0.62, True, "review", "", ""),
     ("temporal.ability_stat_change", "ABILITY", "STAT_CHANGE", 2.0, "", "", "TEMPORALLY_ADJACENT", 0.65, True, "review", "", ""),
 ]
+
+# The type of fact that an event states, by kind and action.
+FACT_TYPES = {
+    ("MOVE", "use"): "MOVE_USED",
+    ("MOVE_RESULT", "block"): "MOVE_RESOLVED",
+    ("MOVE_RESULT", "prepare"): "MOVE_RESOLVED",
+    ("MOVE_RESULT", "resolve"): "MOVE_RESOLVED",
+    ("DAMAGE_RESULT", "damage"): "DAMAGE_OBSERVED",
+    ("SWITCH", "switch_in"): "SWITCH_IN",
+    ("ABILITY", "activate"): "ABILITY_ACTIVATED",
+    ("ITEM", "activate"): "ITEM_ACTIVATED",
+    ("STATUS", "inflict"): "STATUS_APPLIED",
+    ("STATUS", "remove"): "STATUS_REMOVED",
+    ("STATUS", "change"): "STATUS_CHANGED",
+    ("STAT_CHANGE", "change"): "STAT_CHANGED",
+    ("WEATHER", "start"): "WEATHER_STARTED",
+    ("WEATHER", "end"): "WEATHER_ENDED",
+    ("WEATHER", "change"): "WEATHER_CHANGED",
+    ("TERRAIN", "start"): "TERRAIN_STARTED",
+    ("TERRAIN", "end"): "TERRAIN_ENDED",
+    ("TERRAIN", "change"): "TERRAIN_CHANGED",
+    ("FIELD_EFFECT", "activate"): "FIELD_EFFECT_STARTED",
+    ("FIELD_EFFECT", "end"): "FIELD_EFFECT_ENDED",
+    ("FIELD_EFFECT", "update"): "FIELD_EFFECT_UPDATED",
+    ("SIDE_CONDITION", "start"): "SIDE_CONDITION_STARTED",
+    ("SIDE_CONDITION", "end"): "SIDE_CONDITION_ENDED",
+    ("SIDE_CONDITION", "update"): "SIDE_CONDITION_UPDATED",
+    ("VOLATILE_STATUS", "apply"): "VOLATILE_STATUS_APPLIED",
+    ("VOLATILE_STATUS", "start"): "VOLATILE_STATUS_APPLIED",
+    ("VOLATILE_STATUS", "end"): "VOLATILE_STATUS_REMOVED",
+    ("VOLATILE_STATUS", "update"): "VOLATILE_STATUS_UPDATED",
+    ("TRANSFORMATION", "activate"): "TRANSFORMATION_OCCURRED",
+    ("TRANSFORMATION", "change"): "TRANSFORMATION_OCCURRED",
+    ("FAINT", "faint"): "KO",
+    ("BATTLE_RESULT", "end"): "BATTLE_ENDED",
+}
+
+# Quality weights of a picture's preparation steps, in order.
+VARIANT_WEIGHTS = (1.0, 0.95, 0.85, 0.8)
