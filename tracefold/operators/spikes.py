@@ -106,39 +106,31 @@ def flag_implausible(
     order = Window.partitionBy(*names, "_chunk").orderBy("_at")
     same = F.coalesce((F.col("_v") == F.lag("_v").over(order)) & (F.col("_seen") == F.lag("_seen").over(order)), F.lit(False))
     feats = placed.withColumn("_step", F.col("_v") - F.lag("_v").over(order)).withColumn("_break", F.when(~same, F.col("_at")))
-    before = order.rowsBetween(-hold, -1)
+    # the readings from this one on; those before it, and those after an excursion, are the same of other rows
+    ahead = order.rowsBetween(0, hold - 1)
+    feats = feats.withColumn("_span", F.struct(F.count("_v").over(ahead).alias("n"), F.min("_v").over(ahead).alias("l"), F.max("_v").over(ahead).alias("h"), F.avg("_v").over(ahead).alias("a")))
     feats = feats.withColumns(
         {
-            "_bn": F.count("_v").over(before),
-            "_bl": F.min("_v").over(before),
-            "_bh": F.max("_v").over(before),
-            "_ba": F.avg("_v").over(before),
+            "_b": F.lag("_span", hold).over(order),
             # length of the run of equal readings that holds this row, as far as the halo shows it
             "_left": F.coalesce(F.col("_at") - F.max("_break").over(order.rowsBetween(1 - frozen_run, 0)), F.lit(frozen_run - 1)),
             "_right": F.coalesce(F.min("_break").over(order.rowsBetween(1, frozen_run - 1)) - F.col("_at") - 1, F.least(F.lit(frozen_run - 1), F.count("_v").over(order.rowsBetween(1, frozen_run - 1)))),
         }
     )
-    tries = []
-    for m in range(1, max_run + 1):
-        after = order.rowsBetween(m, m + hold - 1)
-        members = F.array(*[F.struct(F.lead("_id", i).over(order).alias("id"), F.lead("_v", i).over(order).alias("v")) if i else F.struct(F.col("_id").alias("id"), F.col("_v").alias("v")) for i in range(m)])
-        tries.append(
-            F.struct(
-                members.alias("members"),
-                F.count("_v").over(after).alias("an"),
-                F.min("_v").over(after).alias("al"),
-                F.max("_v").over(after).alias("ah"),
-                F.avg("_v").over(after).alias("aa"),
-            )
-        )
+    one = F.struct(F.col("_id").alias("id"), F.col("_v").alias("v"))
+    feats = feats.withColumns({f"_m{i}": F.lead(one, i).over(order) if i else one for i in range(max_run)} | {f"_s{m}": F.lead("_span", m).over(order) for m in range(1, max_run + 1)})
+    tries = [F.struct(F.array(*[F.col(f"_m{i}") for i in range(m)]).alias("members"), F.col(f"_s{m}").alias("s")) for m in range(1, max_run + 1)]
     feats = feats.withColumn("_tries", F.array(*tries)).where("_core")
 
-    level = lambda t: (F.col("_ba") + t["aa"]) / 2
+    level = lambda t: (F.col("_b.a") + t["s"]["a"]) / 2
     away = lambda t: F.array_min(F.transform(t["members"], lambda x: F.abs(x["v"] - level(t))))
-    hopeful = F.filter(F.col("_tries"), lambda t: (t["an"] == hold) & (away(t) >= min_jump))
-    candidates = feats.where((F.col("_bn") == hold) & (F.abs(F.col("_v") - F.col("_ba")) >= min_jump / 2) | (F.col("_left") + F.col("_right") + 1 >= frozen_run))
-    candidates = candidates.withColumn("_tries", F.when(F.col("_bn") == hold, hopeful)).withColumn("_frozen", F.col("_left") + F.col("_right") + 1 >= frozen_run)
-    candidates = candidates.where("_frozen OR size(_tries) > 0").select(*names, "_id", "_frozen", "_tries", "_bl", "_bh", "_ba")
+    hopeful = F.filter(F.col("_tries"), lambda t: (t["s"]["n"] == hold) & (away(t) >= min_jump))
+    long_run = F.col("_left") + F.col("_right") + 1 >= frozen_run
+    # the levels on both sides differ by little against the jump, so the side before tells already what cannot be one
+    least = min_jump * max(0.0, 1 - level_scatter / (2 * jump_scatter)) - 1e-9
+    candidates = feats.where((F.col("_b.n") == hold) & (F.abs(F.col("_v") - F.col("_b.a")) >= least) | long_run)
+    candidates = candidates.withColumn("_tries", F.when(F.col("_b.n") == hold, hopeful)).withColumn("_frozen", long_run)
+    candidates = candidates.where("_frozen OR size(_tries) > 0").select(*names, "_id", "_frozen", "_tries", "_b")
 
     steps = feats.where(F.col("_step").isNotNull()).withColumn("_ctx", F.floor(F.col("_t") / context_seconds))
     sketches = step_sketches(steps.select(*names, "_ctx", "_step"), names, "_ctx", "_step")
@@ -153,9 +145,9 @@ def flag_implausible(
     held = F.filter(
         F.col("_tries"),
         lambda t: (away(t) >= jump_scatter * s - small)
-        & (F.col("_bh") - F.col("_bl") <= hold_scatter * s + small)
-        & (t["ah"] - t["al"] <= hold_scatter * s + small)
-        & (F.abs(F.col("_ba") - t["aa"]) <= level_scatter * s + small),
+        & (F.col("_b.h") - F.col("_b.l") <= hold_scatter * s + small)
+        & (t["s"]["h"] - t["s"]["l"] <= hold_scatter * s + small)
+        & (F.abs(F.col("_b.a") - t["s"]["a"]) <= level_scatter * s + small),
     )
     excursions = judged.select(F.explode(F.flatten(F.transform(held, lambda t: F.transform(t["members"], lambda x: x["id"])))).alias("_id"), F.lit("excursion").alias("reason"))
     frozen = judged.where(F.col("_frozen") & (s > 0)).select("_id", F.lit("frozen").alias("reason"))
