@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracefold.operators.sequence import lagged, last_known, running_sum
+from tracefold.operators.sequence import join_on, lagged, last_known, running_sum
 from tracefold.operators.temporal import BLOCK_SECONDS
 
 
@@ -45,14 +45,13 @@ def centred_median(df: DataFrame, keys: list[str], time: str, tie: str, value: s
     return rows.withColumn(name, F.when(F.col(value).isNotNull(), median)).drop("_v0", "_t0", "_v1", "_t1", "_neg", "_negtie")
 
 
-def rolling_mode(df: DataFrame, keys: list[str], block: Column, order: list[str], value: str, name: str) -> DataFrame:
+def rolling_mode(df: DataFrame, keys: list[str], pos: str, value: str, name: str, block: int = 4096) -> DataFrame:
     """Most frequent value of a row and its two neighbours; ties to the earliest in order; nulls do not vote."""
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(-1, 1)
-    votes = F.array_compact(F.col("_votes"))
-    count = lambda x: F.size(F.filter(votes, lambda y: y == x))
-    most = F.array_max(F.transform(votes, count))
-    rows = df.withColumn("_b", block).withColumn("_votes", F.collect_list(F.struct(F.col(value).alias("v"))).over(inside)).withColumn("_votes", F.transform("_votes", lambda x: x["v"]))
-    return rows.withColumn(name, F.get(F.filter(votes, lambda x: count(x) == most), 0)).drop("_b", "_votes")
+    rows = lagged(df, keys, [pos], F.floor(F.col(pos) / block), {"_v0": F.col(value)}).withColumn("_neg", -F.col(pos))
+    rows = lagged(rows, keys, ["_neg"], F.floor(F.col("_neg") / block), {"_v1": F.col(value)})
+    first, own, last = F.col("_v0"), F.col(value), F.col("_v1")
+    voted = F.when((first == own) | (first == last), first).when(own == last, own).otherwise(F.coalesce(first, own, last))
+    return rows.withColumn(name, voted).drop("_v0", "_v1", "_neg")
 
 
 def lower_percentile(values: Column, p: float) -> Column:
@@ -130,17 +129,16 @@ def last_per_key(df: DataFrame, keys: list[str], time: str, tie: str, value: Col
     return last_known(df, keys, [time, tie], _blocks(time), value, name)
 
 
-def even_sample(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+def even_sample(df: DataFrame, keys: list[str], time: str, tie: str, most: int) -> DataFrame:
     """At most ``most`` rows of each entity, evenly spaced from first to last."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = df.withColumns({"_i": F.row_number().over(w) - 1, "_n": n})
+    rows = running_sum(df, keys, [time, tie], _blocks(time), F.lit(1), "_i").withColumn("_i", F.col("_i") - 1)
+    rows = join_on(rows, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
     slot = F.floor((F.col("_i") * (most - 1) + (F.col("_n") - 2)) / F.greatest(F.lit(1), F.col("_n") - 1))
     wanted = F.floor(slot * (F.col("_n") - 1) / F.lit(max(1, most - 1)))
     return rows.where((F.col("_n") <= most) | (wanted == F.col("_i"))).drop("_i", "_n")
 
 
-def pages(df: DataFrame, order: list[str], size: int, key: str) -> DataFrame:
-    """Rows with a page number: positions are counted per ``key`` and divided by ``size``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("page", F.floor((F.row_number().over(w) - 1) / size))
+def pages(df: DataFrame, keys: list[str], time: str, tie: str, size: int) -> DataFrame:
+    """Rows with a page number: positions in their entity divided by ``size``."""
+    rows = running_sum(df, keys, [time, tie], _blocks(time), F.lit(1), "_i")
+    return rows.withColumn("page", F.floor((F.col("_i") - 1) / size)).drop("_i")

@@ -11,7 +11,7 @@ NARRATION = [
     TextRule("item.activated", "ITEM", "(?P<subject>.+?)使用了(?P<item>.+?)[!]", 0.99, _TRIGGER, {"action": "activate"}),
     TextRule("ability.activated", "ABILITY", "(?P<subject>.+?)的(?P<ability>[^!]+)[!]?", 0.94, _TRIGGER, {"action": "activate"}),
     TextRule("switch.go", "SWITCH", "上吧!(?P<body>.+)!", 0.98, (), {"action": "switch_in"}),
-    TextRule("switch.sent_out", "SWITCH", "(?P<trainer>.+?)派出了(?P<pokemon>.+?)[!]", 0.98, (), {"action": "switch_in"}),
+    TextRule("switch.sent_out", "SWITCH", "(?P<trainer>.+?)派出了(?P<target>.+?)[!]", 0.98, (), {"action": "switch_in"}),
     TextRule("faint.fell", "FAINT", "(?P<subject>.+?)倒下了[!]", 0.99, (), {"action": "faint"}),
     TextRule("status.damage", "DAMAGE_RESULT", "(?P<subject>.+?)受到了(?P<status>灼傷|中毒|劇毒)的傷害[!]", 0.99, (), {"action": "damage"}),
     TextRule("damage.recoil", "DAMAGE_RESULT", "(?P<subject>.+?)受到了反作用力造成的傷害[!]", 0.99, (), {"action": "damage", "cause": "recoil"}),
@@ -53,7 +53,7 @@ ROLES = {
     "MOVE": {"actor": "subject", "move": "move"},
     "ITEM": {"actor": "subject", "item": "item"},
     "ABILITY": {"actor": "subject", "ability": "ability"},
-    "SWITCH": {"target": "pokemon"},
+    "SWITCH": {"target": "target"},
     "FAINT": {"target": "subject"},
     "DAMAGE_RESULT": {"target": "subject", "status": "status", "cause": "cause", "action": "action"},
     "STATUS": {"target": "subject", "status": "status"},

@@ -270,7 +270,7 @@ def display_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("ev") + "SELECT event_id, (row_number() OVER (PARTITION BY replay_id ORDER BY start_time, event_id) - 1) // 20 AS page FROM ev")
 def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.pages(tables.events(spark, sf_dir), ["start_time", "event_id"], 20, "replay_id").select("event_id", "page")
+    return windows.pages(tables.events(spark, sf_dir), ["replay_id"], "start_time", "event_id", 20).select("event_id", "page")
 
 
 @query(
@@ -280,12 +280,14 @@ def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_id FROM n WHERE n <= 10 UNION SELECT event_id FROM n JOIN k ON n.replay_id = k.replay_id AND n.type = k.type AND n.i = j * (n.n - 1) // 9"
 )
 def even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.even_sample(tables.events(spark, sf_dir), ["replay_id", "type"], ["start_time", "event_id"], 10).select("event_id")
+    return windows.even_sample(tables.events(spark, sf_dir), ["replay_id", "type"], "start_time", "event_id", 10).select("event_id")
 
 
-@query()
+@query(
+    with_tables("fr")
+    + """, l AS (SELECT replay_id, sample_index, lag(ui_state) OVER w AS a, ui_state AS b, lead(ui_state) OVER w AS c FROM fr WINDOW w AS (PARTITION BY replay_id ORDER BY sample_index))
+SELECT replay_id, sample_index, CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b ELSE coalesce(a, b, c) END AS voted FROM l"""
+)
 def rolling_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes of neighbours inside blocks of 1,024 samples; rows only, as SQL has no first-seen mode."""
-    rows = tables.frames(spark, sf_dir)
-    out = windows.rolling_mode(rows, ["replay_id"], F.floor(F.col("sample_index") / 1024), ["sample_index"], "ui_state", "voted")
-    return out.select("replay_id", "sample_index", "voted")
+    rows = tables.frames(spark, sf_dir).select("replay_id", "sample_index", "ui_state")
+    return windows.rolling_mode(rows, ["replay_id"], "sample_index", "ui_state", "voted").select("replay_id", "sample_index", "voted")
