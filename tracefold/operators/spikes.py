@@ -10,8 +10,9 @@ Three kinds of reading are flagged:
                 source whose readings otherwise change.
 
 A source's scatter comes from quantile sketches (KLL) of the steps between
-successive readings: one sketch for each source and context (hour of the order
-column), built map-side, merged across partitions, then merged over contexts.
+successive readings of a block of time: one sketch for each source and context
+(hour of the order column), built map-side, merged across partitions, then
+merged over contexts.
 The steps' interquartile range, over 1.349 and the square root of two, is the
 scatter around a level; real changes of level are too rare to move it.
 ``context_fences`` uses the same sketches, of the readings themselves.
@@ -51,9 +52,21 @@ def _bad(low: float, high: float):
     return F.isnan("_v") | (F.col("_v") < low) | (F.col("_v") > high)
 
 
+def _blocked(rows: DataFrame, low: float, high: float, block_seconds: float) -> DataFrame:
+    return rows.withColumn("_bad", _bad(low, high).cast("int")).withColumn("_block", F.coalesce(F.floor(F.col("_t") / block_seconds), F.lit(-(2**62))))
+
+
+def _steps(rows: DataFrame, keys: list[str], low: float, high: float, block_seconds: float, context_seconds: float) -> DataFrame:
+    """Steps from one possible reading to the next in its block of time, with their context ``_ctx``."""
+    before = Window.partitionBy(*keys, "_block").orderBy("_t", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    good = F.when(F.col("_bad") == 0, F.col("_v"))
+    steps = _blocked(rows, low, high, block_seconds).withColumn("_step", good - F.last(good, True).over(before))
+    return steps.where(F.col("_step").isNotNull()).select(*keys, F.floor(F.col("_t") / context_seconds).alias("_ctx"), "_step")
+
+
 def _numbered(rows: DataFrame, keys: list[str], low: float, high: float, block_seconds: float) -> DataFrame:
     """Possible readings with their exact 0-based position ``_at`` and the number of impossible ones before them."""
-    rows = rows.withColumn("_bad", _bad(low, high).cast("int")).withColumn("_block", F.coalesce(F.floor(F.col("_t") / block_seconds), F.lit(-(2**62))))
+    rows = _blocked(rows, low, high, block_seconds)
     blocks = rows.groupBy(*keys, "_block").agg(F.sum(1 - F.col("_bad")).alias("_g"), F.sum("_bad").alias("_b"))
     offsets = block_offsets(blocks, keys, "_block", {"_g": "_g0", "_b": "_b0"})
     right = offsets.select(*[F.col(k).alias(f"r{k}") for k in [*keys, "_block"]], "_g0", "_b0")
@@ -105,7 +118,7 @@ def flag_implausible(
     placed = with_halo(_numbered(rows, names, low, high, block_seconds), "_at", chunk, halo)
     order = Window.partitionBy(*names, "_chunk").orderBy("_at")
     same = F.coalesce((F.col("_v") == F.lag("_v").over(order)) & (F.col("_seen") == F.lag("_seen").over(order)), F.lit(False))
-    feats = placed.withColumn("_step", F.col("_v") - F.lag("_v").over(order)).withColumn("_break", F.when(~same, F.col("_at")))
+    feats = placed.withColumn("_break", F.when(~same, F.col("_at")))
     # the readings from this one on; those before it, and those after an excursion, are the same of other rows
     ahead = order.rowsBetween(0, hold - 1)
     feats = feats.withColumn("_span", F.struct(F.count("_v").over(ahead).alias("n"), F.min("_v").over(ahead).alias("l"), F.max("_v").over(ahead).alias("h"), F.avg("_v").over(ahead).alias("a")))
@@ -132,8 +145,8 @@ def flag_implausible(
     candidates = candidates.withColumn("_tries", F.when(F.col("_b.n") == hold, hopeful)).withColumn("_frozen", long_run)
     candidates = candidates.where("_frozen OR size(_tries) > 0").select(*names, "_id", "_frozen", "_tries", "_b")
 
-    steps = feats.where(F.col("_step").isNotNull()).withColumn("_ctx", F.floor(F.col("_t") / context_seconds))
-    sketches = step_sketches(steps.select(*names, "_ctx", "_step"), names, "_ctx", "_step")
+    steps = _steps(rows, names, low, high, block_seconds, context_seconds)
+    sketches = step_sketches(steps, names, "_ctx", "_step")
     quant = lambda q: F.kll_sketch_get_quantile_double("_sketch", F.lit(q))
     scatter = sketches.select(*[F.col(n).alias(f"s{n}") for n in names], ((quant(0.75) - quant(0.25)) / (IQR_TO_SIGMA * 2**0.5)).alias("_scatter"))
     on = F.lit(True)
