@@ -14,7 +14,7 @@ MOST_TEMPLATES = 10_000
 
 def class_templates(df: DataFrame, label: str, vector: str) -> DataFrame:
     """``label, template``: the mean vector of each label, added up element by element."""
-    cells = df.select(F.col(label).alias("label"), F.posexplode(vector).alias("_i", "_x"))
+    cells = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.posexplode(vector).alias("_i", "_x"))
     means = cells.groupBy("label", "_i").agg(F.avg("_x").alias("_m"))
     return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("template"))
 
@@ -76,7 +76,8 @@ def assign(items: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
 
 def greedy_assignment(pairs: DataFrame, keys: list[str], left: str, right: str, score: str) -> DataFrame:
     """``assign`` for each group; a group is the few candidates of one decision."""
-    rows = pairs.select(*keys, F.col(left).cast("string").alias("_l"), F.col(right).cast("string").alias("_r"), F.col(score).cast("double").alias("_s"))
+    rows = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(score).isNotNull())
+    rows = rows.select(*keys, F.col(left).cast("string").alias("_l"), F.col(right).cast("string").alias("_r"), F.col(score).cast("double").alias("_s"))
 
     def step(held: list, row: tuple) -> list[tuple]:
         held.append(row)

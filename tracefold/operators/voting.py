@@ -22,7 +22,7 @@ def exact_consensus(votes: DataFrame, keys: list[str], text: str, weight: str, m
     usable = votes.where(F.length(text) > 0)
     cell = usable.groupBy(*keys, text, moment).agg(F.max(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))
     by_text = cell.groupBy(*keys, text).agg(F.count(F.lit(1)).alias("_moments"), F.avg("_w").alias("_conf"), F.sum("_n").alias("_votes"))
-    total = usable.groupBy(*keys).agg(F.countDistinct(moment).alias("_all"), F.count(F.lit(1)).alias("n_votes"), F.countDistinct(text).alias("n_texts"))
+    total = usable.groupBy(*keys).agg(F.countDistinct(F.struct(moment)).alias("_all"), F.count(F.lit(1)).alias("n_votes"), F.countDistinct(text).alias("n_texts"))
     scored = by_text.join(total, keys).withColumn("_support", F.col("_moments") / F.col("_all"))
     score = F.bround(0.58 * F.col("_support") + 0.42 * F.col("_conf"), 9)
     rank = Window.partitionBy(*keys).orderBy(F.desc(score), F.desc(text))
