@@ -32,17 +32,15 @@ def threshold_intervals(samples: DataFrame, keys: list[str], pos: str, time: str
     hits = islands(base.where("_score >= _thr"), keys, "_pos", max_gap + 1)
     spans = hits.groupBy(*keys, "island").agg(F.min("_pos").alias("first_pos"), F.max("_pos").alias("last_pos"), F.count(F.lit(1)).alias("n_hits"), F.max("_least").alias("_least"))
     spans = spans.where("last_pos - first_pos + 1 >= _least").drop("_least")
-    # the span's samples: its interval's start carried forward over the sequence
-    marks = base.join(spans.select(*keys, F.col("first_pos").alias("_pos"), "first_pos", "last_pos", "n_hits"), [*keys, "_pos"], "left")
-    place = F.floor(F.col("_pos") / 4096)
-    known = last_known(marks, keys, ["_pos"], place, F.when(F.col("first_pos").isNotNull(), F.struct("first_pos", "last_pos", "n_hits")), "_span")
-    inside = known.where("_pos <= _span.last_pos")
-    return inside.groupBy(*keys, F.col("_span.first_pos").alias("first_pos")).agg(
-        F.max("_span.last_pos").alias("last_pos"),
+    # the span's samples, met in blocks of positions
+    cut = spans.withColumn("_block", F.explode(F.sequence(F.floor(F.col("first_pos") / 1024), F.floor(F.col("last_pos") / 1024))))
+    inside = base.drop("_thr", "_least").withColumn("_block", F.floor(F.col("_pos") / 1024)).join(cut, [*keys, "_block"]).where("_pos BETWEEN first_pos AND last_pos")
+    return inside.groupBy(*keys, "first_pos").agg(
+        F.max("last_pos").alias("last_pos"),
         F.min("_time").alias("start_time"),
         F.max("_time").alias("end_time"),
         F.count(F.lit(1)).alias("n_samples"),
-        F.max("_span.n_hits").alias("n_hits"),
+        F.max("n_hits").alias("n_hits"),
         F.avg("_score").alias("mean_score"),
     )
 
