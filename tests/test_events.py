@@ -165,6 +165,17 @@ def test_hysteresis_stream(spark, tmp_path):
     assert sorted((r["first"], r["last"]) for r in out.collect()) == [(2, 4), (8, 10)]
 
 
+def test_stream_sessions_close_behind_the_watermark(spark, tmp_path):
+    from tracefold.streaming import machines as streams
+
+    rows = [("a", 0), ("a", 20), ("a", 100), ("b", 5), ("a", 100_000)]
+    df = spark.createDataFrame(rows, "k string, s long").selectExpr("k", "timestamp_seconds(s) AS ts")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = streams.run_once(streams.stream_sessions(stream, "ts", "k", "30 seconds", "1 minute"), "sessions_out", str(tmp_path / "log"))
+    assert sorted((r.k, r.n, r.start.timestamp()) for r in out.collect()) == [("a", 1, 100.0), ("a", 2, 0.0), ("b", 1, 5.0)]
+
+
 def test_state_changes_and_conflicts(spark):
     rows = [
         ("r", 1, "e1", "P", "active", "replace", "true"),

@@ -102,3 +102,9 @@ def test_multiplier_and_names(spark):
     names = spark.createDataFrame([(1, "x", "s"), (2, "y", "s"), (3, "z", "s")], "id int, n string, b string")
     got = {r.id: (r.status, r.entry_id) for r in review.resolve_names(names, "id", "n", "b", aliases).collect()}
     assert got == {1: ("unique", 1), 2: ("ambiguous", None), 3: ("unresolved", None)}
+
+
+def test_a_recogniser_gets_batches(spark):
+    jobs = spark.createDataFrame([(1, "a"), (2, None)], "id int, image string")
+    out = tables.recognise(jobs, lambda b: b.assign(text=b.image.str.upper(), error=b.image.isna().map({True: "no image", False: None}))[["id", "text", "error"]], "id int, text string, error string")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "A", None), (2, None, "no image")]

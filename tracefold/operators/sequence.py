@@ -19,13 +19,6 @@ def block_offsets(blocks: DataFrame, keys: list[str], block: str, sums: dict[str
     return blocks.select(*keys, block, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for c, n in sums.items()])
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    on = F.lit(True)
-    for name in names:
-        on = on & left[name].eqNullSafe(right[name])
-    return on
-
-
 def with_halo(df: DataFrame, position: str, size: int, halo: int, chunk: str = "_chunk", core: str = "_core") -> DataFrame:
     """Cut 0-based exact ``position`` into chunks of ``size`` rows; the ``halo`` rows on either side come along.
 

@@ -54,11 +54,6 @@ def rolling_mode(df: DataFrame, keys: list[str], pos: str, value: str, name: str
     return rows.withColumn(name, voted).drop("_v0", "_v1", "_neg")
 
 
-def lower_percentile(values: Column, p: float) -> Column:
-    """The value at index ``floor((n - 1) * p)`` of an ascending array."""
-    return F.try_element_at(values, F.floor((F.size(values) - 1) * p).cast("int") + 1)
-
-
 def gap_distribution(df: DataFrame, keys: list[str], time: str, end: str, tie: str, edges: list[float]) -> DataFrame:
     """Gaps between a row's time and the end of the row before: count, least, median, 90th percentile, most, and counts by bucket.
 
