@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import text as tx
 from tracefold.operators import correlate, machines, state, voting
 from tracefold.operators.machines import Hysteresis
+from tracefold.plans import event_queries
 from tracefold.plans.fixed_values import BARRIERS, LEAST_GAP, LINK_FROM, LOOK_BACK, NARRATION, RELATIONS
 
 
@@ -196,3 +197,18 @@ def test_state_changes_and_conflicts(spark):
     assert got["e5"][0] == "no_op" and got["e7"] == ("applied", "2", "-1") and got["e8"][0] == got["e9"][0] == "unresolved"
     latest = {(r.entity, r.field): r.value for r in state.latest(out, ["r"]).collect()}
     assert latest == {("P", "status"): '"burn"', ("P", "moves"): '["m"]', ("P", "stage"): "-1"}
+
+
+def spoken(spark, where, lines):
+    """A folder whose ``ocr_observations`` are narration lines, one second apart."""
+    rows = [("r", f"e{i}", "battle_text", t, float(i), 1.0) for i, t in enumerate(lines)]
+    spark.createDataFrame(rows, "replay_id string, request_id string, role string, raw_text string, pts double, confidence double").write.parquet(f"{where}/ocr_observations.parquet")
+    return str(where)
+
+
+def test_lines_of_several_names_link_and_change_each(spark, tmp_path):
+    d = spoken(spark, tmp_path, ["紅派出了羽蜥和對手的磁蜂!", "磁蜂的速度提高了!", "上吧!犀燼\n羽蛾!", "羽蛾的速度提高了!"])
+    got = {(r.source, r.target) for r in event_queries.lookback_rule_pairs(spark, d).collect() if r.rule == "switch.same_target_stat_change"}
+    assert got == {("e0", "e1"), ("e2", "e3")}
+    active = {r.entity for r in event_queries.state_at_end(spark, d).collect() if r.field == "active"}
+    assert active == {"羽蜥", "磁蜂", "犀燼", "羽蛾"}

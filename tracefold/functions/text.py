@@ -96,6 +96,18 @@ def line_targets(col: Column) -> Column:
     return F.filter(F.flatten(F.transform(F.split(col, "\n"), lambda x: F.split(x, "[和、]"))), lambda x: x != "")
 
 
+def members(phrase: Column, opponent: str = "對手的") -> Column:
+    """Names of a participant phrase, each once, without the mark of the other side; a phrase of one name is that name."""
+    parts = F.transform(F.split(phrase, "[和、]"), lambda x: F.trim(F.regexp_replace(F.trim(x), f"^{opponent}|的+$", "")))
+    return F.array_distinct(F.filter(F.when(phrase.rlike("[和、]"), parts).otherwise(F.array(F.trim(phrase))), lambda x: x != ""))
+
+
+def go_targets(raw: Column) -> Column:
+    """Names of a 上吧 line as it was read: line breaks part names there."""
+    body = F.regexp_replace(F.translate(raw, WIDE, NARROW), r"^\s*上\s*吧\s*!", "")
+    return F.array_distinct(F.filter(F.transform(line_targets(body), lambda x: F.regexp_replace(x, r"[ \t\r\n]+|[!。.]+\s*$", "")), lambda x: x != ""))
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)

@@ -25,10 +25,12 @@ RULES = (
 )
 
 
-def _values(fields: Column, key: Column) -> Column:
-    """Stated values of a field; ``participants`` are the actor and the target."""
-    clean = lambda name: F.nullif(F.trim(fields[name]), F.lit(""))
-    return F.array_compact(F.when(key == "participants", F.array(clean("actor"), clean("target"))).otherwise(F.array(clean(key))))
+def _values(event: Column, key: Column) -> Column:
+    """Stated values of a field of ``f``; ``participants`` are the actor and the target, and ``n`` names further targets."""
+    clean = lambda name: F.nullif(F.trim(event["f"][name]), F.lit(""))
+    one = F.when(key == "participants", F.array(clean("actor"), clean("target"))).otherwise(F.array(clean(key)))
+    named = F.when(key.isin("participants", "target"), event["n"]).otherwise(F.array().cast("array<string>"))
+    return F.array_compact(F.concat(one, F.coalesce(named, F.array().cast("array<string>"))))
 
 
 def _pairs(text: str) -> list[tuple[str, str]]:
@@ -51,24 +53,28 @@ def numbered(events: DataFrame, entity: str, start: str, end: str, event_id: str
     return rows.withColumn("is_bar", is_bar)
 
 
-def proposals(events: DataFrame, rules: list[tuple], entity: str, start: str, end: str, event_id: str, kind: str, fields: str, confidence: str, barriers: tuple[str, ...], look_back: float, least_gap: float) -> DataFrame:
-    """``entity, source, target, rule, rule_order, relation, mode, confidence, gap``: every rule that holds for a pair."""
+def proposals(events: DataFrame, rules: list[tuple], entity: str, start: str, end: str, event_id: str, kind: str, fields: str, confidence: str, barriers: tuple[str, ...], look_back: float, least_gap: float, targets: str | None = None) -> DataFrame:
+    """``entity, source, target, rule, rule_order, relation, mode, confidence, gap``: every rule that holds for a pair.
+
+    ``targets`` is an array of names that an event has besides its ``target`` field.
+    """
     spark = events.sparkSession
     # both sides of the join and the numbering read the events, which are costly to make again
-    events = cut_lineage(events.select(entity, start, end, event_id, kind, fields, confidence))
+    names = F.col(targets) if targets else F.array().cast("array<string>")
+    events = cut_lineage(events.select(entity, start, end, event_id, kind, fields, confidence, names.alias("_names")))
     seq = numbered(events, entity, start, end, event_id, kind, barriers)
-    pick = [F.col(entity).alias("_e"), F.col(event_id).alias("id"), F.col(kind).alias("kind"), F.col(start).alias("a"), F.col(end).alias("z"), F.col(fields).alias("f"), F.col(confidence).alias("c"), "seq", "bars", "is_bar"]
+    pick = [F.col(entity).alias("_e"), F.col(event_id).alias("id"), F.col(kind).alias("kind"), F.col(start).alias("a"), F.col(end).alias("z"), F.col(fields).alias("f"), F.col(confidence).alias("c"), F.col("_names").alias("n"), "seq", "bars", "is_bar"]
     rows = seq.select(*pick)
     # the gap runs from a source's end to a target's start, so those are bucketed
-    src = rows.select("_e", F.struct("id", "kind", "z", "f", "c", "seq", "bars").alias("s"), F.explode(F.sequence(F.floor((F.col("z") + least_gap) / look_back), F.floor((F.col("z") + look_back) / look_back))).alias("_bucket"))
-    tgt = rows.select("_e", F.struct("id", "kind", "a", "f", "c", "seq", "bars", "is_bar").alias("t"), F.floor(F.col("a") / look_back).alias("_bucket"))
+    src = rows.select("_e", F.struct("id", "kind", "z", "f", "n", "c", "seq", "bars").alias("s"), F.explode(F.sequence(F.floor((F.col("z") + least_gap) / look_back), F.floor((F.col("z") + look_back) / look_back))).alias("_bucket"))
+    tgt = rows.select("_e", F.struct("id", "kind", "a", "f", "n", "c", "seq", "bars", "is_bar").alias("t"), F.floor(F.col("a") / look_back).alias("_bucket"))
     table = F.broadcast(spark.createDataFrame(rule_rows(rules), RULES))
     gap = F.col("t.a") - F.col("s.z")
     pairs = src.join(tgt, ["_e", "_bucket"]).where((F.col("s.seq") < F.col("t.seq")) & gap.between(least_gap, look_back))
     pairs = pairs.join(table, (F.col("s.kind") == F.col("source_kind")) & (F.col("t.kind") == F.col("target_kind")) & (gap <= F.col("most")))
     between = F.col("t.bars") - F.col("t.is_bar") - F.col("s.bars")
-    source, target = F.col("s.f"), F.col("t.f")
-    holds = ~(F.col("barred") & (between > 0)) & has_pairs(source, F.col("s_if")) & has_pairs(target, F.col("t_if"))
+    source, target = F.col("s"), F.col("t")
+    holds = ~(F.col("barred") & (between > 0)) & has_pairs(source["f"], F.col("s_if")) & has_pairs(target["f"], F.col("t_if"))
     holds = holds & F.forall("required", lambda m: F.arrays_overlap(_values(source, m["s"]), _values(target, m["t"])))
     agrees = lambda m: F.arrays_overlap(_values(source, m["s"]), _values(target, m["t"]))
     stated = lambda m: (F.size(_values(source, m["s"])) > 0) & (F.size(_values(target, m["t"])) > 0)

@@ -124,7 +124,11 @@ _ROLE_NAMES = sorted({role for roles in ROLES.values() for role in roles} | {"ac
 
 
 def narration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read from the narration lines: one point in time each."""
+    """Events read from the narration lines: one point in time each.
+
+    ``fields`` has participants as they were read; in ``named`` a phrase of
+    several names is taken out, and its members are in ``targets``.
+    """
     rows = tables.ocr(spark, sf_dir).where("role = 'battle_text' AND raw_text IS NOT NULL AND pts IS NOT NULL")
     got = rows.withColumn("got", tx.first_match(tx.compact(F.col("raw_text")), F.lit("BATTLE_TEXT"), NARRATION, "UNKNOWN_EVENT")).where("got.kind <> 'UNKNOWN_EVENT'")
 
@@ -138,7 +142,14 @@ def narration(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.regexp_replace(plain if value is None else value.otherwise(plain), "^對手的", "")
 
     fields = F.create_map(*[x for n in _ROLE_NAMES for x in (F.lit(n), role(n))])
-    return got.select("replay_id", F.col("request_id").alias("event_id"), F.col("pts").alias("start"), F.col("pts").alias("end"), F.col("got.kind").alias("kind"), fields.alias("fields"), F.least("confidence", "got.confidence").alias("confidence"))
+    got = got.withColumn("fields", fields)
+    parts = {n: tx.members(F.col("fields")[n]) for n in ("actor", "target")}
+    one = lambda k, v: F.when(k.isin(*parts), F.when(F.size(tx.members(v)) == 1, tx.members(v)[0])).otherwise(v)
+    several = [F.when(F.size(x) > 1, x) for x in parts.values()]
+    sent = F.when(F.col("got.rule") == "switch.go", tx.go_targets(F.col("raw_text")))
+    none = F.array().cast("array<string>")
+    targets = F.array_distinct(F.concat(*[F.coalesce(x, none) for x in (*several, sent)]))
+    return got.select("replay_id", F.col("request_id").alias("event_id"), F.col("pts").alias("start"), F.col("pts").alias("end"), F.col("got.kind").alias("kind"), "fields", F.transform_values("fields", one).alias("named"), targets.alias("targets"), F.least("confidence", "got.confidence").alias("confidence"))
 
 
 def _role_sql(name: str) -> str:
@@ -189,7 +200,7 @@ found AS (SELECT node, top AS root FROM up WHERE top NOT IN (SELECT child FROM l
 
 
 def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.proposals(narration(spark, sf_dir), RELATIONS, "replay_id", "start", "end", "event_id", "kind", "fields", "confidence", BARRIERS, LOOK_BACK, LEAST_GAP)
+    return correlate.proposals(narration(spark, sf_dir), RELATIONS, "replay_id", "start", "end", "event_id", "kind", "named", "confidence", BARRIERS, LOOK_BACK, LEAST_GAP, "targets")
 
 
 @query(_EVENTS + "SELECT e AS replay_id, id AS event_id, kind, actor, target, move, round_even(c, 6) AS confidence FROM e0")
@@ -279,24 +290,27 @@ def deadband_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the narration says about fields of entities."""
+    """What the narration says about fields of entities, one row for each; ``part`` orders those of one event."""
     f = F.col("fields")
+    who = F.col("who")
     op = lambda entity, field, how, value: F.struct(entity.alias("entity"), F.lit(field).alias("field"), F.lit(how).alias("op"), value.cast("string").alias("value"))
     made = (
-        F.when(F.col("kind") == "SWITCH", op(f["target"], "active", "replace", F.lit("true")))
-        .when(F.col("kind") == "FAINT", op(f["target"], "active", "replace", F.lit("false")))
-        .when(F.col("kind") == "STATUS", op(f["target"], "status", "set", f["status"]))
-        .when(F.col("kind") == "MOVE", op(f["actor"], "moves", "add", f["move"]))
-        .when(F.col("kind") == "STAT_CHANGE", op(f["target"], "stages", "shift", F.lit(1)))
+        F.when(F.col("kind") == "SWITCH", op(who, "active", "replace", F.lit("true")))
+        .when(F.col("kind") == "FAINT", op(who, "active", "replace", F.lit("false")))
+        .when(F.col("kind") == "STATUS", op(who, "status", "set", f["status"]))
+        .when(F.col("kind") == "MOVE", op(who, "moves", "add", f["move"]))
+        .when(F.col("kind") == "STAT_CHANGE", op(who, "stages", "shift", F.lit(1)))
     )
     # a filter on the kind, not on the operation, so that it is not copied into the scan's filter
     rows = narration(spark, sf_dir).where(F.col("kind").isin("SWITCH", "FAINT", "STATUS", "MOVE", "STAT_CHANGE"))
-    return rows.withColumn("o", made).select("replay_id", "event_id", "start", "o.*")
+    own = F.when(F.col("kind") == "MOVE", F.col("named")["actor"]).otherwise(F.col("named")["target"])
+    rows = rows.select("*", F.posexplode(F.when(F.size("targets") > 0, F.col("targets")).otherwise(F.array(own))).alias("part", "who"))
+    return rows.withColumn("o", made).select("replay_id", "event_id", "start", "part", "o.*")
 
 
 @query()
 def state_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.project(operations(spark, sf_dir), ["replay_id"], ["start", "event_id"], ["event_id", "entity", "field", "op", "value"])
+    return state.project(operations(spark, sf_dir), ["replay_id"], ["start", "event_id", "part"], ["event_id", "entity", "field", "op", "value"])
 
 
 @query(
