@@ -212,3 +212,9 @@ def test_lines_of_several_names_link_and_change_each(spark, tmp_path):
     assert got == {("e0", "e1"), ("e2", "e3")}
     active = {r.entity for r in event_queries.state_at_end(spark, d).collect() if r.field == "active"}
     assert active == {"羽蜥", "磁蜂", "犀燼", "羽蛾"}
+
+
+def test_stat_changes_keep_stat_direction_and_size(spark, tmp_path):
+    d = spoken(spark, tmp_path, ["羽蜥的攻擊大幅提高了!", "羽蜥的攻擊降低了!", "羽蜥和磁蜂的防禦、特防大幅降低了!"])
+    got = {(r.entity, r.field): r.value for r in event_queries.state_at_end(spark, d).collect()}
+    assert got == {("羽蜥", "stage.攻擊"): "1", **{(w, f"stage.{s}"): "-2" for w in ("羽蜥", "磁蜂") for s in ("防禦", "特防")}}

@@ -149,7 +149,7 @@ def narration(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = F.when(F.col("got.rule") == "switch.go", tx.go_targets(F.col("raw_text")))
     none = F.array().cast("array<string>")
     targets = F.array_distinct(F.concat(*[F.coalesce(x, none) for x in (*several, sent)]))
-    return got.select("replay_id", F.col("request_id").alias("event_id"), F.col("pts").alias("start"), F.col("pts").alias("end"), F.col("got.kind").alias("kind"), "fields", F.transform_values("fields", one).alias("named"), targets.alias("targets"), F.least("confidence", "got.confidence").alias("confidence"))
+    return got.select("replay_id", F.col("request_id").alias("event_id"), F.col("pts").alias("start"), F.col("pts").alias("end"), F.col("got.kind").alias("kind"), "fields", F.transform_values("fields", one).alias("named"), targets.alias("targets"), F.col("got.fields")["change"].alias("change"), F.least("confidence", "got.confidence").alias("confidence"))
 
 
 def _role_sql(name: str) -> str:
@@ -292,19 +292,21 @@ def deadband_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the narration says about fields of entities, one row for each; ``part`` orders those of one event."""
     f = F.col("fields")
-    who = F.col("who")
-    op = lambda entity, field, how, value: F.struct(entity.alias("entity"), F.lit(field).alias("field"), F.lit(how).alias("op"), value.cast("string").alias("value"))
+    who, stat = F.col("who"), F.col("stat")
+    shift = F.when(F.col("change").contains("降低"), -1).otherwise(1) * F.when(F.col("change").contains("大幅"), 2).otherwise(1)
+    op = lambda entity, field, how, value: F.struct(entity.alias("entity"), field.alias("field"), F.lit(how).alias("op"), value.cast("string").alias("value"))
     made = (
-        F.when(F.col("kind") == "SWITCH", op(who, "active", "replace", F.lit("true")))
-        .when(F.col("kind") == "FAINT", op(who, "active", "replace", F.lit("false")))
-        .when(F.col("kind") == "STATUS", op(who, "status", "set", f["status"]))
-        .when(F.col("kind") == "MOVE", op(who, "moves", "add", f["move"]))
-        .when(F.col("kind") == "STAT_CHANGE", op(who, "stages", "shift", F.lit(1)))
+        F.when(F.col("kind") == "SWITCH", op(who, F.lit("active"), "replace", F.lit("true")))
+        .when(F.col("kind") == "FAINT", op(who, F.lit("active"), "replace", F.lit("false")))
+        .when(F.col("kind") == "STATUS", op(who, F.lit("status"), "set", f["status"]))
+        .when(F.col("kind") == "MOVE", op(who, F.lit("moves"), "add", f["move"]))
+        .when(F.col("kind") == "STAT_CHANGE", op(who, F.concat(F.lit("stage."), stat), "shift", shift))
     )
     # a filter on the kind, not on the operation, so that it is not copied into the scan's filter
     rows = narration(spark, sf_dir).where(F.col("kind").isin("SWITCH", "FAINT", "STATUS", "MOVE", "STAT_CHANGE"))
     own = F.when(F.col("kind") == "MOVE", F.col("named")["actor"]).otherwise(F.col("named")["target"])
-    rows = rows.select("*", F.posexplode(F.when(F.size("targets") > 0, F.col("targets")).otherwise(F.array(own))).alias("part", "who"))
+    rows = rows.select("*", F.posexplode(F.when(F.size("targets") > 0, F.col("targets")).otherwise(F.array(own))).alias("place", "who"))
+    rows = rows.select("*", F.posexplode(F.when(F.col("kind") == "STAT_CHANGE", F.split(f["stat"], "、")).otherwise(F.array(F.lit("")))).alias("_i", "stat")).withColumn("part", F.struct("place", "_i"))
     return rows.withColumn("o", made).select("replay_id", "event_id", "start", "part", "o.*")
 
 
