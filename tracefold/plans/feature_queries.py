@@ -279,12 +279,13 @@ s AS (SELECT gr.replay_id, timeline_id, start_time, o.hp AS hp FROM gr ASOF LEFT
 d AS (SELECT *, lag(hp) OVER (PARTITION BY replay_id ORDER BY start_time, timeline_id) AS was FROM s) SELECT timeline_id, was, hp FROM d WHERE hp IS DISTINCT FROM was"""
 )
 def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups at which the last reading of a slot differs from that of the group before."""
-    known = tables.hp(spark, sf_dir).where("hp IS NOT NULL AND side = 'player' AND slot = 'left'")
-    shots = temporal.asof_latest(tables.groups(spark, sf_dir).select("replay_id", "timeline_id", "start_time"), known, ["replay_id"], "start_time", "timestamp", ["hp"])
-    shots = shots.select("replay_id", "timeline_id", "start_time", F.col("latest.hp").alias("hp"))
-    rows = lagged(shots, ["replay_id"], ["start_time", "timeline_id"], F.floor(F.col("start_time") / 600), {"was": F.col("hp")})
-    return rows.where(~F.col("hp").eqNullSafe(F.col("was"))).select("timeline_id", "was", "hp")
+    """Groups at which the last reading of a slot, on either side, differs from that at the group before."""
+    slots = F.array(*[F.struct(F.lit(a).alias("side"), F.lit(b).alias("slot")) for a in ("player", "opponent") for b in ("left", "right")])
+    asks = tables.groups(spark, sf_dir).select("timeline_id", "replay_id", "start_time", F.explode(slots).alias("x")).select("timeline_id", "replay_id", "start_time", "x.*")
+    shots = temporal.asof_latest(asks, tables.hp(spark, sf_dir).where("hp IS NOT NULL"), SOURCE, "start_time", "timestamp", ["hp"])
+    shots = shots.select(*SOURCE, "timeline_id", "start_time", F.col("latest.hp").alias("hp"))
+    rows = lagged(shots, SOURCE, ["start_time", "timeline_id"], F.floor(F.col("start_time") / 600), {"was": F.col("hp")})
+    return rows.where(~F.col("hp").eqNullSafe(F.col("was"))).select("timeline_id", "side", "slot", "was", "hp")
 
 
 @query(
