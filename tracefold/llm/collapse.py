@@ -30,12 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-EPS = 1e-9
-
+from tracefold.functions.text import state_label  # noqa: F401
 
-def state_label(col: Column) -> Column:
-    """A state's name however it is written: case, and blanks, hyphens and underscores between words, do not count."""
-    return F.regexp_replace(F.upper(F.regexp_replace(col, r"^[\s\-_]+|[\s\-_]+$", "")), r"[\s\-_]+", "_")
+EPS = 1e-9
 
 
 def _alike(times, labels, feats, anchors, i, j, gap, tol) -> np.ndarray:

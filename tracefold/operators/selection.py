@@ -46,12 +46,17 @@ def best_template(df: DataFrame, key: str, vector: str, templates: DataFrame) ->
     return out.select(key, F.when(~F.isnan("_b.score"), F.col("_b.label")).alias("label"), F.nanvl("_b.score", F.lit(None).cast("double")).alias("score"))
 
 
-def interval_frames(intervals: DataFrame, samples: DataFrame, keys: list[str], span: tuple[str, str], interval_id: str, time: str, position: str, score: str, bucket: float = 30.0) -> DataFrame:
-    """Per interval its first, last and best sample: ``interval_id, first_pos, last_pos, peak_pos, n``; ties to the earlier."""
+def interval_frames(intervals: DataFrame, samples: DataFrame, keys: list[str], span: tuple[str, str], interval_id: str, time: str, position: str, score: str, bucket: float = 30.0, kind: str | None = None) -> DataFrame:
+    """Per interval its first, last and best sample: ``interval_id, first_pos, last_pos, peak_pos, n``; ties to the earlier.
+
+    With ``kind``, a column of the intervals, ``score`` is a map and an interval's score is the one of its kind.
+    """
     start, end = span
-    cut = intervals.select(*keys, F.col(interval_id).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))).alias("_b"))
+    cut = intervals.select(*keys, F.col(interval_id).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("_kind"), F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))).alias("_b"))
     rows = samples.select(*keys, F.col(position).alias("_p"), F.col(time).alias("_t"), F.col(score).alias("_x"), F.floor(F.col(time) / bucket).alias("_b"))
     held = cut.join(rows, [*keys, "_b"]).where("_t BETWEEN _s AND _e")
+    if kind:
+        held = held.withColumn("_x", F.col("_x")[F.col("_kind")])
     return held.groupBy(F.col("_id").alias(interval_id)).agg(F.min("_p").alias("first_pos"), F.max("_p").alias("last_pos"), F.max_by("_p", F.struct(F.coalesce("_x", F.lit(float("-inf"))), -F.col("_p"))).alias("peak_pos"), F.count(F.lit(1)).alias("n"))
 
 

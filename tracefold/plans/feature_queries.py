@@ -293,9 +293,27 @@ def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", u AS (SELECT replay_id, sample_index, unnest(visible_rois) AS roi FROM fr WHERE sample_index % 50 = 0 OR ui_state = 'RESULT') SELECT replay_id, sample_index, array_to_string(list_sort(list_distinct(list(roi))), '|') AS rois FROM u GROUP BY ALL"
 )
 def evidence_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions to look at, by sample: every fiftieth and every result screen (the sampling is the feature)."""
-    rows = tables.frames(spark, sf_dir).where("sample_index % 50 = 0 OR ui_state = 'RESULT'")
-    wanted = rows.select("replay_id", "sample_index", F.explode("visible_rois").alias("roi"))
+    """Regions to look at, by sample: those of each candidate at its first, best and last sample, narration every
+    five seconds and beside results, and what a result screen shows.
+
+    A candidate without a sample in its span asks for the nearest to its start and its end.
+    """
+    rows, found = tables.frames(spark, sf_dir), tables.events(spark, sf_dir)
+    shown = F.coalesce("visible_rois", F.array(F.lower("type")))
+    context = F.transform(F.filter(shown, lambda x: x.isin("player_trigger_notification", "opponent_trigger_notification")), lambda x: F.concat(x, F.lit("_analysis_context")))
+    regions = F.when(F.col("type") == "TRIGGER_NOTIFICATION", F.concat(shown, context)).otherwise(shown)
+    asked = found.select("replay_id", "event_id", "start_time", "end_time", regions.alias("rois"))
+    points = selection.interval_frames(found, rows, ["replay_id"], ("start_time", "end_time"), "event_id", "pts", "sample_index", "candidate_scores", kind="type")
+    at = points.select("event_id", F.explode(F.array_distinct(F.array("first_pos", "peak_pos", "last_pos"))).alias("sample_index"))
+    held = asked.join(at, "event_id").select("replay_id", "sample_index", "rois")
+    text = F.array(F.lit("battle_text")).alias("rois")
+    ticks = temporal.targets(tables.plan(spark, sf_dir), ["replay_id"], "t", 5.0).select("replay_id", "target", text)
+    bare = asked.join(points.select("event_id"), "event_id", "left_anti").select("replay_id", F.explode(F.array("start_time", "end_time")).alias("target"), "rois")
+    near = temporal.nearest_point(ticks.unionByName(bare), rows.select("replay_id", "pts", "sample_index"), ["replay_id"], "target", "pts", ["sample_index"])
+    near = near.where("sample_index IS NOT NULL").select("replay_id", "sample_index", "rois")
+    dense = dense_audit(spark, sf_dir).select("replay_id", "sample_index", text)
+    results = rows.where(tx.state_label(F.col("ui_state")) == "RESULT").select("replay_id", "sample_index", F.col("visible_rois").alias("rois"))
+    wanted = held.unionByName(near).unionByName(dense).unionByName(results).select("replay_id", "sample_index", F.explode("rois").alias("roi"))
     return wanted.groupBy("replay_id", "sample_index").agg(F.array_join(F.array_sort(F.collect_set("roi")), "|").alias("rois"))
 
 
