@@ -83,3 +83,33 @@ def test_context_fences(spark):
     assert (row["n"], row["n_outside"], row["n_impossible"]) == (102, 1, 1)
     assert row["low_fence"] == pytest.approx(45, abs=3)
     assert context_fences(frame(spark, []), "oid", ["src"], "t", "v").count() == 0
+
+
+def test_sparse_readings_keep_their_steps(spark):
+    values = wobbling(80, 40)
+    values[20], values[21] = 50.0, 50.5
+    rows = [(f"a{i:05d}", "a", 700.0 * i, v) for i, v in enumerate(values)]
+    want = {("a00020", "excursion"), ("a00021", "excursion")}
+    assert flags(frame(spark, rows)) == want
+    assert flags(frame(spark, rows), block_seconds=1e9) == want
+
+
+def test_the_context_decides(spark):
+    calm, rough = wobbling(60, 250), [60 + 25 * (v - 60) for v in wobbling(60, 250, 3)]
+    calm[100], rough[100] = 75.0, 75.0
+    rows = [(f"c{i:05d}", "a", 1.0 * i, v) for i, v in enumerate(calm)] + [(f"r{i:05d}", "a", 3600.0 + i, v) for i, v in enumerate(rough)]
+    assert flags(frame(spark, rows)) == {("c00100", "excursion")}
+    # with one context both hours share their fences, and contexts with too few steps take their source's
+    merged = flags(frame(spark, rows), context_seconds=1e9)
+    assert merged != {("c00100", "excursion")}
+    assert flags(frame(spark, rows), context_least=10_000) == merged
+
+
+def test_rates_go_by_elapsed_time(spark):
+    values = wobbling(80, 60)
+    values[20], values[40] = 60.0, 60.0
+    rows = [(f"a{i:05d}", "a", 0.5 * i + (0 if i < 40 else 3600) + (3600 if i > 40 else 0), v) for i, v in enumerate(values)]
+    got = flags(frame(spark, rows), rates=True, context_seconds=1e9)
+    # both leave the level, but only the first does so faster than the source ever changes
+    assert {r for r in got if r[1] == "rate"} == {("a00020", "rate")}
+    assert {r for r in got if r[1] == "excursion"} == {("a00020", "excursion"), ("a00040", "excursion")}

@@ -18,8 +18,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings by reason, spikes in the rate of change included, which ``p1_found`` has no kind for."""
     rows = read(spark, sf_dir, "hp_observations")
-    return flag_implausible(rows, "observation_id", SOURCE, "timestamp", "hp_percent").groupBy("reason").agg(F.count(F.lit(1)).alias("n_readings"))
+    return flag_implausible(rows, "observation_id", SOURCE, "timestamp", "hp_percent", rates=True).groupBy("reason").agg(F.count(F.lit(1)).alias("n_readings"))
 
 
 def p1_context_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
