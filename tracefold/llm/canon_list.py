@@ -1,7 +1,8 @@
 """Free-entered values mapped to the closest entry of a reference list.
 
-A prefix-filter set-similarity join.  Values and names become sets of tokens
-(numbered characters, or numbered letter pairs for Latin words).  Tokens are
+A prefix-filter set-similarity join.  Values and names become sets of tokens:
+numbered characters where there is a CJK one, numbered letter pairs of what is
+not CJK; a text of both scripts is compared in both ways.  Tokens are
 ordered by global rarity; two sets whose Jaccard similarity is ``threshold`` or
 more share a token among the first ``n - ceil(threshold * n) + 1`` of each, so
 only those prefixes are joined.  Length and positional filters follow, then the
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracefold.llm.lookalike import skeleton
+from tracefold.session import cut_lineage
 
 BROADCAST_NAMES = 100_000
 _SCREEN = re.compile(r"pp\s*\d+(?:\s*/\s*\d+)?|(?<![a-z])lv\s*\.?\s*\d+|\d+\s*/\s*\d+|^\s*\d+\s*[.):]?\s+|^\s*\d+[.):]")
@@ -40,9 +42,7 @@ def plain_name(text: str) -> str:
     return "".join(c for c in text if c.isalnum())
 
 
-def tokens_of(name: str) -> list[str]:
-    """Numbered characters; numbered letter pairs where no character is CJK."""
-    units = list(name) if _CJK.search(name) else [a + b for a, b in zip("^" + name, name + "$")]
+def _numbered(units: list[str]) -> list[str]:
     seen: dict[str, int] = {}
     out = []
     for u in units:
@@ -51,16 +51,29 @@ def tokens_of(name: str) -> list[str]:
     return out
 
 
+def character_tokens(name: str) -> list[str]:
+    """Numbered characters of a text with a CJK character in it; nothing for any other."""
+    return _numbered(list(name)) if _CJK.search(name) else []
+
+
+def pair_tokens(name: str) -> list[str]:
+    """Numbered letter pairs of what is not CJK in a text."""
+    name = _CJK.sub("", name)
+    return _numbered([a + b for a, b in zip("^" + name, name + "$")]) if name else []
+
+
 def kept_share(value: str, name: str) -> float:
-    """Longest common subsequence over the name's length."""
+    """Longest common subsequence over the name's length, one bit for each letter of the name."""
     if not name:
         return 0.0
-    row = [0] * (len(name) + 1)
+    places: dict[str, int] = {}
+    for j, c in enumerate(name):
+        places[c] = places.get(c, 0) | 1 << j
+    full = rows = (1 << len(name)) - 1
     for c in value:
-        diagonal = 0
-        for j, d in enumerate(name, 1):
-            diagonal, row[j] = row[j], (diagonal + 1 if c == d else max(row[j], row[j - 1]))
-    return row[-1] / len(name)
+        hit = rows & places.get(c, 0)
+        rows = ((rows + hit) | (rows - hit)) & full
+    return (len(name) - rows.bit_count()) / len(name)
 
 
 def _plain(col: Column) -> Column:
@@ -72,9 +85,10 @@ def _plain(col: Column) -> Column:
 
 
 def _tokens(col: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(tokens_of, na_action="ignore")
+    """Both kinds of tokens: ``c`` and ``p``."""
+    @F.pandas_udf("c array<string>, p array<string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"c": texts.map(character_tokens, na_action="ignore"), "p": texts.map(pair_tokens, na_action="ignore")})
 
     return run(col)
 
@@ -87,10 +101,12 @@ def _kept(value: Column, name: Column) -> Column:
     return run(value, name)
 
 
-def similarity_join(values: DataFrame, names: DataFrame, threshold: float, small: bool) -> DataFrame:
-    """``block, value, name, jaccard`` of all pairs of the same block at ``threshold`` or more.
+def similarity_join(values: DataFrame, names: DataFrame, threshold: float, small: bool, held: float = 0.0) -> DataFrame:
+    """``block, value, name, jaccard`` of all pairs of the same block at ``threshold`` or more in which the value holds
+    at least the share ``held`` of the name's tokens.
 
-    Both inputs have distinct ``block, text, tokens``.
+    Both inputs have distinct ``block, text, tokens``.  A name of ``n`` tokens shares at least the greater of
+    ``threshold * n`` and ``held * n``, which shortens its prefix.
     """
     hint = F.broadcast if small else (lambda d: d)
     name_sizes = names.groupBy("block").agg(F.min(F.size("tokens")).alias("_lo"), F.max(F.size("tokens")).alias("_hi"))
@@ -101,16 +117,16 @@ def similarity_join(values: DataFrame, names: DataFrame, threshold: float, small
     in_values = exploded.where("_in = 1").groupBy("block", "token").agg(F.count(F.lit(1)).alias("_f1"))
     rarity = known.join(in_values, ["block", "token"], "left").select("block", "token", (F.col("_f0") + F.coalesce("_f1", F.lit(0))).alias("_f"))
 
-    def prefixes(side: DataFrame) -> DataFrame:
+    def prefixes(side: DataFrame, share: float) -> DataFrame:
         flat = side.select("block", "text", "tokens", F.explode("tokens").alias("token")).join(hint(rarity), ["block", "token"], "left")
         order = Window.partitionBy("block", "text").orderBy(F.coalesce("_f", F.lit(0)), "token")
         n = F.size("tokens")
-        return flat.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", n).where(F.col("_i") < n - F.ceil(n * threshold - 1e-9) + 1)
+        return flat.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", n).where(F.col("_i") < n - F.ceil(n * share - 1e-9) + 1)
 
-    v = prefixes(values).select("block", "token", F.col("text").alias("value"), F.col("tokens").alias("_vt"), F.col("_n").alias("_vn"), F.col("_i").alias("_vi"))
+    v = prefixes(values, threshold).select("block", "token", F.col("text").alias("value"), F.col("tokens").alias("_vt"), F.col("_n").alias("_vn"), F.col("_i").alias("_vi"))
     v = v.join(hint(known.select("block", "token")), ["block", "token"], "left_semi")
-    r = prefixes(names).select("block", "token", F.col("text").alias("name"), F.col("tokens").alias("_nt"), F.col("_n").alias("_nn"), F.col("_i").alias("_ni"))
-    least = (F.col("_vn") + F.col("_nn")) * threshold / (1 + threshold) - 1e-9
+    r = prefixes(names, max(threshold, held)).select("block", "token", F.col("text").alias("name"), F.col("tokens").alias("_nt"), F.col("_n").alias("_nn"), F.col("_i").alias("_ni"))
+    least = F.greatest((F.col("_vn") + F.col("_nn")) * threshold / (1 + threshold), F.col("_nn") * held) - 1e-9
     pairs = v.join(hint(r), ["block", "token"]).where(
         (F.col("_nn") >= F.col("_vn") * threshold - 1e-9)
         & (F.col("_vn") >= F.col("_nn") * threshold - 1e-9)
@@ -119,7 +135,7 @@ def similarity_join(values: DataFrame, names: DataFrame, threshold: float, small
     pairs = pairs.select("block", "value", "name", "_vt", "_nt").dropDuplicates(["block", "value", "name"])
     both = F.size(F.array_intersect("_vt", "_nt"))
     exact = both / (F.size("_vt") + F.size("_nt") - both)
-    return pairs.withColumn("jaccard", exact).where(F.col("jaccard") >= threshold - 1e-9).select("block", "value", "name", "jaccard")
+    return pairs.withColumn("jaccard", exact).where((F.col("jaccard") >= threshold - 1e-9) & (both >= F.size("_nt") * held - 1e-9)).select("block", "value", "name", "jaccard")
 
 
 def map_to_list(
@@ -135,21 +151,27 @@ def map_to_list(
 
     ``reference`` has columns ``block, entry_id, name``; an entry may have several names.
     """
+    # values and names pass Python once; what follows reads the written rows
     names = reference.select(F.col("block").cast("string").alias("block"), "entry_id", _plain(F.col("name")).alias("text")).where("block IS NOT NULL AND length(text) > 0")
-    names = names.groupBy("block", "text").agg(F.min("entry_id").alias("entry_id"))
+    names = cut_lineage(names.groupBy("block", "text").agg(F.min("entry_id").alias("entry_id")).withColumn("_t", _tokens(F.col("text"))))
     small = names.count() <= BROADCAST_NAMES
     hint = F.broadcast if small else (lambda d: d)
-    values = df.select(F.col(block_col).cast("string").alias("block"), F.col(value_col).alias("value")).distinct().withColumn("plain", _plain(F.col("value")))
-    forms = values.select("block", F.col("plain").alias("text")).where("block IS NOT NULL AND length(text) > 0").distinct()
     # values too long for any name are settled by their length, before tokens are made
     longest = names.agg(F.max(F.length("text"))).collect()[0][0] or 0
-    cjk = F.col("text").rlike(_CJK.pattern)
+    asked = df.select(F.col(block_col).cast("string").alias("block"), F.col(value_col).alias("value")).distinct()
+    values = asked.withColumn("plain", _plain(F.col("value")))
+    fits = (F.length("plain") > 0) & (F.length("plain") <= (longest + 1) / min(cjk_threshold, latin_threshold) + 1)
+    values = cut_lineage(values.withColumn("_t", _tokens(F.when(fits & F.col("block").isNotNull(), F.col("plain")))))
+    forms = values.where("_t IS NOT NULL AND block IS NOT NULL").select("block", F.col("plain").alias("text"), "_t").dropDuplicates(["block", "text"])
     near = None
-    for is_cjk, threshold in ((cjk, cjk_threshold), (~cjk, latin_threshold)):
-        v = forms.where(is_cjk & (F.length("text") <= (longest + 1) / threshold + 1)).withColumn("tokens", _tokens(F.col("text")))
-        n = names.where(is_cjk).select("block", "text").withColumn("tokens", _tokens(F.col("text")))
-        part = similarity_join(v, n, threshold, small)
+    # a text of both scripts is compared in both ways
+    # letters kept in order are letters held; pairs of letters may break and bound nothing
+    for kind, threshold, held in (("c", cjk_threshold, least_kept), ("p", latin_threshold, 0.0)):
+        side = lambda d: d.select("block", "text", F.col(f"_t.{kind}").alias("tokens")).where("size(tokens) > 0")
+        part = similarity_join(side(forms), side(names), threshold, small, held)
         near = part if near is None else near.unionByName(part)
+    names = names.drop("_t")
+    near = near.groupBy("block", "value", "name").agg(F.max("jaccard").alias("jaccard"))
     kept = near.withColumn("kept", _kept(F.col("value"), F.col("name"))).where(F.col("kept") >= least_kept)
     kept = kept.join(hint(names.withColumnRenamed("text", "name")), ["block", "name"])
     rank = F.struct(-F.col("jaccard"), -F.col("kept"), F.levenshtein("value", "name"), F.col("entry_id"), F.col("name"), F.col("jaccard").alias("j"), F.col("kept").alias("k"))
