@@ -2,7 +2,10 @@ import random
 
 import numpy as np
 
-from tracefold.llm.leaks import ItemIndex, find_leaks, least_matches, letters, shingles
+import pytest
+
+from tracefold.llm import leaks
+from tracefold.llm.leaks import Batch, ItemIndex, ShortIndex, find_leaks, least_matches, least_share, letters, shingles
 
 HAN = [chr(c) for c in range(0x4E00, 0x4E00 + 1500)]
 
@@ -73,3 +76,76 @@ def test_candidates_reach_the_recall_promised():
 def test_least_matches():
     assert least_matches(0.3, 64, 1e-3) > 5 and least_matches(0.01, 64, 1e-3) == 1
     assert np.array_equal(shingles(letters("ab")), shingles(letters("A,b")))
+
+
+def holds(doc, item):
+    """The definition: a window of half the item, one letter in eight misread at most."""
+    n = len(item)
+    half = -(-n // 2)
+    for d in range(-n, len(doc)):
+        for a in range(n - half + 1):
+            if d + a >= 0 and d + a + half <= len(doc) and sum(doc[d + a + i] != item[a + i] for i in range(half)) <= half // 8:
+                return True
+    return False
+
+
+def test_short_items_equal_brute_force():
+    rng = random.Random(21)
+    few = HAN[:12]
+    draw = lambda n: "".join(rng.choice(few) for _ in range(n))
+    items = [(i, draw(rng.randrange(1, 40))) for i in range(40)]
+    docs = []
+    for _ in range(60):
+        body = draw(rng.randrange(0, 60))
+        _, t = rng.choice(items)
+        a = rng.randrange(0, len(t))
+        docs.append(body + "".join(rng.choice(few) if rng.random() < 0.05 else c for c in t[a:]) + draw(rng.randrange(0, 9)))
+    index = ShortIndex([(i, letters(t)) for i, t in items], 0.5)
+    got = {(d, i) for d, i, _ in index.leaks(Batch([letters(t) for t in docs]))}
+    assert got == {(d, i) for d, doc in enumerate(docs) for i, t in items if holds(doc, t)}
+
+
+@pytest.mark.parametrize("length", [6, 8, 10, 12, 16, 20, 24, 32, 40, 48, 63, 64, 80, 108])
+def test_recall_by_length(length):
+    rng = random.Random(length)
+    items = [(i, text(rng, length)) for i in range(150)]
+    docs, want = [], set()
+    for i, t in items:
+        for size in (length, -(-length // 2)):
+            a = rng.randrange(0, length - size + 1)
+            want.add((len(docs), i))
+            docs.append(text(rng, rng.randrange(0, 400)) + t[a : a + size] + text(rng, 200))
+    got = set()
+    for index in leaks.indexes(items, 0.5, None, 64, 0.75, 1e-3):
+        got |= {(d, i) for d, i, _ in index.leaks(Batch([letters(d) for d in docs]))}
+    assert len(want & got) >= 0.99 * len(want)
+
+
+def test_items_in_several_blocks_and_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, text(rng, rng.choice([8, 30, 100, 300]))) for i in range(40)]
+    docs = [(i, text(rng, 500) + t + text(rng, 100)) for i, t in items]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    it = spark.createDataFrame(items, "no int, text string")
+    pairs = lambda: {(r.id, r.no) for r in find_leaks(df, "id", "text", it, "no", "text").collect()}
+    whole = pairs()
+    assert {(i, i) for i, _ in items} <= whole
+    monkeypatch.setattr(leaks, "BLOCK_LETTERS", 700)
+    assert len(leaks.indexes(sorted(items), 0.5, None, 64, 0.75, 1e-3)) > 3
+    monkeypatch.setattr(leaks, "PASS_BLOCKS", 2)
+    assert pairs() == whole
+
+
+def test_an_item_longer_than_a_piece(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(leaks, "PIECE", 4096)
+    item, doc = text(rng, 9000), text(rng, 120_000)
+    doc = doc[:50_000] + item + doc[50_000:]
+    parts = leaks._pieces(letters(doc), 2 * len(item))
+    assert len(parts) < 20 and sum(map(len, parts)) <= 2.5 * len(doc)
+    assert any(item in "".join(map(chr, p)) for p in parts)
+    assert "".join(map(chr, parts[-1])).endswith(doc[-100:])
+
+
+def test_least_share():
+    assert least_share(103, 0.5, 0.75) == pytest.approx(0.75 * 49 / 103)
