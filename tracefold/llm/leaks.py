@@ -144,7 +144,7 @@ def least_share(size: int, stretch: float, noise: float) -> float:
 class ItemIndex:
     """The items of one block: shingles for verification, signatures by size partition."""
 
-    def __init__(self, items: list[tuple[int, str]], stretch: float, min_share: float | None, hashes: int, noise: float, miss: float, seed: int = 7):
+    def __init__(self, items: list[tuple[int, str]], stretch: float, min_share: float | None, hashes: int, noise: float, miss: float, least_noise: float = 0.6, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.mult = (rng.integers(0, 1 << 31, hashes, dtype=np.int64) * 2 + 1).astype(np.uint32)
         self.xor = rng.integers(0, 1 << 32, hashes, dtype=np.int64).astype(np.uint32)
@@ -161,7 +161,7 @@ class ItemIndex:
             self.ids.append(item_id)
             self.sorted.append(sh[order])
             self.place.append(order)
-            self.least.append(least_share(len(sh), stretch, noise) if min_share is None else min_share)
+            self.least.append(least_share(len(sh), stretch, least_noise) if min_share is None else min_share)
             # a misreading near an end of the stretch hides the letters before it
             self.span.append(math.ceil(stretch * (len(sh) + SHINGLE - 1)) - SHINGLE if min_share is None else 0)
             signatures.append(((np.unique(sh)[None, :] ^ self.xor[:, None]) * self.mult[:, None]).min(1))
@@ -364,7 +364,7 @@ class ShortIndex:
             yield doc, i, share
 
 
-def indexes(rows: list[tuple], stretch: float, min_share: float | None, hashes: int, noise: float, miss: float) -> list[ItemIndex | ShortIndex]:
+def indexes(rows: list[tuple], stretch: float, min_share: float | None, hashes: int, noise: float, miss: float, least_noise: float = 0.6) -> list[ItemIndex | ShortIndex]:
     """One index of the short items and one for each block of the others."""
     short, blocks, size = [], [[]], 0
     for item_id, text in rows:
@@ -377,7 +377,7 @@ def indexes(rows: list[tuple], stretch: float, min_share: float | None, hashes:
             size += len(codes)
         elif len(codes):
             short.append((item_id, codes))
-    return [ShortIndex(short, stretch), *[ItemIndex(b, stretch, min_share, hashes, noise, miss) for b in blocks]]
+    return [ShortIndex(short, stretch), *[ItemIndex(b, stretch, min_share, hashes, noise, miss, least_noise) for b in blocks]]
 
 
 _built: dict[str, list] = {}
@@ -408,15 +408,18 @@ def find_leaks(
     stretch: float = 0.5,
     min_share: float | None = None,
     hashes: int = 64,
-    noise: float = 0.6,
+    noise: float = 0.7,
     miss: float = 1e-3,
+    least_noise: float = 0.6,
 ) -> DataFrame:
     """``doc_id, item_id, share``: each document with each item of which it holds a stretch.
 
     ``stretch``: share of the item that a document must hold in one stretch;
-    ``noise``: share of the shingles of a true stretch that misreadings leave at
-    least; ``min_share``: least share of the item's shingles in the stretch, by
-    default what ``stretch`` and ``noise`` leave of an item of its length.
+    ``noise``: share of the shingles of a true stretch that misreadings leave,
+    for which the search misses no more than ``miss``; ``least_noise``: the share
+    of them that the exact check asks for; ``min_share``: least share of the
+    item's shingles in the stretch, by default what ``stretch`` and
+    ``least_noise`` leave of an item of its length.
     """
     stated = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text")).where("_item IS NOT NULL AND _text IS NOT NULL").distinct()
     total = stated.agg(F.sum(F.length("_text"))).collect()[0][0] or 0
@@ -428,7 +431,7 @@ def find_leaks(
         shared = docs.sparkSession.sparkContext.broadcast(sorted(rows))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
-            every = _indexes(key, shared, stretch, min_share, hashes, noise, miss)
+            every = _indexes(key, shared, stretch, min_share, hashes, noise, miss, least_noise)
             overlap = 2 * max([SHORT, *[index.longest for index in every if isinstance(index, ItemIndex)]])
             for batch in batches:
                 out: list[tuple[int, int, float]] = []
