@@ -73,3 +73,18 @@ def test_pack(spark):
     assert pack(df.limit(0), "id", "text", "source", {1: 64}).count() == 0
     with pytest.raises(ValueError):
         pack(df, "id", "text", "source", {1: 0})
+
+
+@needs_vocabulary
+def test_given_clusters_and_sources_keep_apart(spark):
+    rows = [(i, f"word {i}", f"s{i % 3}" if i % 5 else None, f"c{i % 7}" if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, source string, copies string")
+    of = {r[0]: r for r in rows}
+    boxes = {}
+    for r in pack(df, "id", "text", "source", {1: 30}, sources="never", cluster_col="copies").collect():
+        boxes.setdefault(r.container, []).append(of[r.id])
+    assert sum(map(len, boxes.values())) == 60
+    for held in boxes.values():
+        for at in (2, 3):
+            named = [x[at] for x in held if x[at] is not None]
+            assert len(named) == len(set(named))

@@ -43,6 +43,7 @@ KEPT_FORMS = ("super", "sub", "circle", "square", "fraction", "vertical", "small
 INKLESS = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 BREAKS = {0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029}
 SAME_SCRIPT = 3.0
+SALT = 16
 
 
 class _Fold(dict):
@@ -197,10 +198,15 @@ def alike_pairs(left: DataFrame, right: DataFrame, counts: dict[tuple[str, str],
     and between ``left`` and ``right``, never within ``right``, so ``left``
     should be the small side.  Each distinct text is brought to its form once.
     """
-    both = left.select("key", "text", F.lit(True).alias("_l")).unionByName(right.select("key", "text", F.lit(False).alias("_l"))).where("text IS NOT NULL AND key IS NOT NULL").distinct()
-    forms = both.select("text").distinct().withColumn("form", canonical(F.col("text"), counts))
-    by_form = both.join(forms, "text")
-    a = by_form.where("_l").select(F.col("key").alias("a"), F.col("text").alias("ta"), "form")
-    b = by_form.select(F.col("key").alias("b"), F.col("text").alias("tb"), "form")
-    pairs = a.join(b, "form").where("ta <> tb AND a <> b")
+    stated = "key IS NOT NULL AND text IS NOT NULL"
+    rows = left.select("key", "text", F.lit(True).alias("_l")).unionByName(right.select("key", "text", F.lit(False).alias("_l"))).where(stated).distinct()
+    # texts are paired before keys, so that a text with many keys is met only where it has a pair
+    texts = rows.groupBy("text").agg(F.bool_or("_l").alias("_l")).withColumn("form", canonical(F.col("text"), counts))
+    a = texts.where("_l").select(F.col("text").alias("ta"), "form")
+    alike = a.join(texts.select(F.col("text").alias("tb"), "form"), "form").where("ta <> tb").select("ta", "tb")
+    keyed = alike.join(rows.where("_l").select(F.col("key").alias("a"), F.col("text").alias("ta")), "ta").select("a", "tb")
+    # the keys of a text with many are spread over SALT tasks
+    keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    other = rows.select(F.col("key").alias("b"), F.col("text").alias("tb"), F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int").alias("_salt"))
+    pairs = keyed.join(other, ["tb", "_salt"]).where("a <> b")
     return pairs.select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()

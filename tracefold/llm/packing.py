@@ -38,13 +38,18 @@ from tracefold.llm import tokens
 SHARD = 4096
 
 
-def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """``_id, _size, _source, _cluster`` of every text that is not blank; the cluster is that of texts equal up to case and blanks."""
+def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str = tokens.VOCABULARY, cluster_col: str | None = None) -> DataFrame:
+    """``_id, _size, _source, _cluster`` of every text that is not blank.
+
+    The duplicate cluster is ``cluster_col`` where one is given, and else that of
+    texts equal up to case, blanks and punctuation.
+    """
+    plain = F.regexp_replace(F.lower(text_col), r"[\s\p{P}\p{Z}\p{C}]+", "")
     rows = df.select(
         F.col(id_col).alias("_id"),
         F.col(text_col).alias("_t"),
         F.col(source_col).cast("string").alias("_source"),
-        F.xxhash64(F.regexp_replace(F.lower(text_col), r"\s+", " ")).alias("_cluster"),
+        (F.when(F.col(cluster_col).isNotNull(), F.xxhash64(cluster_col)) if cluster_col else F.when(plain != "", F.xxhash64(plain))).cast("string").alias("_cluster"),
     ).where("_t IS NOT NULL AND _id IS NOT NULL")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,7 +58,7 @@ def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary
             batch = batch[batch["_t"].str.strip().str.len() > 0]
             yield pd.DataFrame({"_id": batch["_id"], "_size": [tok.count(t) for t in batch["_t"]], "_source": batch["_source"], "_cluster": batch["_cluster"]})
 
-    return rows.mapInPandas(measure, f"_id {rows.schema['_id'].dataType.simpleString()}, _size long, _source string, _cluster long")
+    return rows.mapInPandas(measure, f"_id {rows.schema['_id'].dataType.simpleString()}, _size long, _source string, _cluster string")
 
 
 def best_fit(items: list[tuple[int, int, str | None, int | None]], capacity: int, sources: str = "prefer") -> list[tuple[int, int, int, int, int]]:
@@ -112,6 +117,7 @@ def pack(
     vocabulary: str = tokens.VOCABULARY,
     shard: int = SHARD,
     sources: str = "prefer",
+    cluster_col: str | None = None,
 ) -> DataFrame:
     """``limit_id, container, id_col, part, start_token, n_tokens`` for each of the ``capacities`` (limit id to tokens)."""
     if sources not in ("prefer", "never", "ignore"):
@@ -119,14 +125,15 @@ def pack(
     if any(c < 1 for c in capacities.values()):
         raise ValueError("capacities must be positive")
     shards = max(1, -(-df.count() // shard))
-    measured = sizes(df, id_col, text_col, source_col, vocabulary)
+    measured = sizes(df, id_col, text_col, source_col, vocabulary, cluster_col)
     measured = measured.withColumn("_shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
     limits = sorted(capacities.items())
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["_id", "_size", "_source", "_cluster"]).drop_duplicates("_id")
         source = batch["_source"].astype(object).where(batch["_source"].notna(), None)
-        items = list(zip(batch["_id"].tolist(), batch["_size"].tolist(), source.tolist(), batch["_cluster"].tolist()))
+        cluster = batch["_cluster"].astype(object).where(batch["_cluster"].notna(), None)
+        items = list(zip(batch["_id"].tolist(), batch["_size"].tolist(), source.tolist(), cluster.tolist()))
         at = int(batch["_shard"].iloc[0])
         rows = [(limit, f"{limit}-{at}-{box}", item, part, start, size) for limit, capacity in limits for box, item, part, start, size in best_fit(items, capacity, sources)]
         return pd.DataFrame(rows, columns=["limit_id", "container", "_id", "part", "start_token", "n_tokens"])

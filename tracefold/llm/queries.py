@@ -93,6 +93,12 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), "doc_id", "text", "source", capacities)
 
 
+def p7_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers that never hold two documents of one source, whatever space that costs."""
+    capacities = {r.limit_id: r.max_tokens for r in _limits(spark, sf_dir, "container")}
+    return pack(read(spark, sf_dir, "documents"), "doc_id", "text", "source", capacities, sources="never")
+
+
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens and filled share by limit."""
     limits = read(spark, sf_dir, "size_limits").select("limit_id", "max_tokens")
@@ -147,4 +153,4 @@ FROM q JOIN i ON q.replay_id = i.replay_id AND i.t BETWEEN q.t - 0.1200001 AND q
 WHERE abs(i.t - q.t) <= 0.12 + 1e-9 GROUP BY 1, 2""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_events, p3_found, p3_unmatched, p5_found, p5_forms, p6_found, p7_containers, p7_fill, p8_found, p8_leaked_items, p9_pieces, p9_ends)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_events, p3_found, p3_unmatched, p5_found, p5_forms, p6_found, p7_containers, p7_strict, p7_fill, p8_found, p8_leaked_items, p9_pieces, p9_ends)}
