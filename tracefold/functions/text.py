@@ -1,6 +1,7 @@
 """Text columns: normal forms, similarities, small parsers, ordered rule tables.
 
-All but ``nfkc``, ``alias_key`` and ``ratio`` are plain Spark expressions.
+All but ``alias_key`` and ``ratio``, and ``nfkc`` for texts with rare characters,
+are plain Spark expressions.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Punctuation that does not count in comparisons, status words in order of precedence.
@@ -22,12 +23,22 @@ CJK = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{
 NOT_CJK = CJK.replace("[", "[^", 1)
 
 
+# Characters whose compatibility form is themselves, or one character by the rule of WIDTH, and that join with no other.
+PLAIN = "^[\\x{00}-\\x{7F}\\x{3000}-\\x{3002}\\x{3041}-\\x{3096}\\x{30A1}-\\x{30FC}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{FF01}-\\x{FF5E}]*$"
+WIDTH = ("".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))) + " ")
+# Characters without ink that may stand anywhere in a text.
+INKLESS = "[\\p{Cf}\\x{034F}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FFA0}\\x{E0100}-\\x{E01EF}]"
+BLANKS = "[\\t\\x0B\\f \\x{85}\\x{A0}\\x{1680}\\x{2028}\\x{2029}\\x{3000}]+"
+
+
 def nfkc(col: Column) -> Column:
+    """Unicode compatibility form; only texts with characters beyond ``PLAIN`` pass Python."""
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-    return run(col)
+    plain = col.rlike(PLAIN)
+    return F.when(plain, F.translate(col, *WIDTH)).otherwise(run(F.when(~plain, col)))
 
 
 def alias_key(col: Column, keep: str = "") -> Column:
@@ -54,9 +65,9 @@ def narrow(col: Column) -> Column:
 
 
 def clean_lines(col: Column) -> Column:
-    """Without blanks inside lines and without empty lines."""
-    lines = F.transform(F.split(narrow(col), "\n"), lambda x: F.regexp_replace(x, r"[ \t\r]+", ""))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    """Compatibility form without ink-less characters, blanks and empty lines; lines are kept."""
+    text = F.regexp_replace(F.regexp_replace(nfkc(col), INKLESS, ""), BLANKS, "")
+    return F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", "\n"), r"^\n+|\n+$", "")
 
 
 def compact(col: Column) -> Column:
@@ -83,29 +94,37 @@ def cjk_tokens(col: Column, least: int = 2, most: int | None = None) -> Column:
     return F.regexp_extract_all(col, F.lit(f"{CJK}{{{least},{most or ''}}}"), 0)
 
 
-def subjects(col: Column, opponent: str = "對手的") -> Column:
-    """``names`` of a subject phrase, split at 和 and 、, and its ``side``."""
-    plain = F.regexp_replace(col, "[\\x{21}-\\x{2F}\\x{3A}-\\x{40}]", "")
-    is_other = plain.startswith(opponent)
-    body = F.when(is_other, F.substring(plain, len(opponent) + 1, 1 << 20)).otherwise(plain)
-    return F.struct(F.filter(F.split(body, "[和、]"), lambda x: x != "").alias("names"), F.when(is_other, F.lit("opponent")).alias("side"))
+# The mark of the other side's names, and what parts the names of a phrase.
+OPPONENT, BETWEEN = "對手的", "[和、]"
+
+
+def subjects(phrase: Column) -> Column:
+    """``names`` of a participant phrase and its ``side``: ``opponent`` where a name has its mark, else null.
+
+    End marks, and what stands before the first CJK character, do not belong to a name.
+    """
+    bare = F.regexp_replace(F.trim(phrase), "[!！。.?？]+$", "")
+    bare = F.regexp_replace(bare, f"^{NOT_CJK}+(?={CJK})", "")
+    parts = F.split(bare, BETWEEN)
+    names = F.transform(parts, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, f"^{OPPONENT}", "")), "的+$", ""))
+    marked = F.exists(parts, lambda x: x.startswith(OPPONENT))
+    return F.struct(F.filter(names, lambda x: x != "").alias("names"), F.when(marked, F.lit("opponent")).alias("side"))
 
 
 def line_targets(col: Column) -> Column:
-    """Names of several lines, each split at 和 and 、."""
-    return F.filter(F.flatten(F.transform(F.split(col, "\n"), lambda x: F.split(x, "[和、]"))), lambda x: x != "")
+    """Names of several lines, each without its end marks and split at 和 and 、."""
+    split = lambda x: F.split(F.regexp_replace(F.trim(x), "[!！。.?？]+$", ""), BETWEEN)
+    return F.filter(F.flatten(F.transform(F.split(col, "\n"), split)), lambda x: x != "")
 
 
-def members(phrase: Column, opponent: str = "對手的") -> Column:
-    """Names of a participant phrase, each once, without the mark of the other side; a phrase of one name is that name."""
-    parts = F.transform(F.split(phrase, "[和、]"), lambda x: F.trim(F.regexp_replace(F.trim(x), f"^{opponent}|的+$", "")))
-    return F.array_distinct(F.filter(F.when(phrase.rlike("[和、]"), parts).otherwise(F.array(F.trim(phrase))), lambda x: x != ""))
+def go_targets(lines: Column) -> Column:
+    """Names of a 上吧 line in its clean form: line breaks part names there."""
+    return line_targets(F.regexp_replace(lines, "^上吧[!！]", ""))
 
 
-def go_targets(raw: Column) -> Column:
-    """Names of a 上吧 line as it was read: line breaks part names there."""
-    body = F.regexp_replace(F.translate(raw, WIDE, NARROW), r"^\s*上\s*吧\s*!", "")
-    return F.array_distinct(F.filter(F.transform(line_targets(body), lambda x: F.regexp_replace(x, r"[ \t\r\n]+|[!。.]+\s*$", "")), lambda x: x != ""))
+def stats(col: Column) -> Column:
+    """Names of a compound stat, parted by 、 or a comma."""
+    return F.filter(F.transform(F.split(col, "[、,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def state_label(col: Column) -> Column:
@@ -177,7 +196,12 @@ def display_time(seconds: Column) -> Column:
 
 @dataclass(frozen=True)
 class TextRule:
-    """One row of an ordered rule table: the first rule whose whole pattern matches wins."""
+    """One row of an ordered rule table: the first rule whose whole pattern matches wins.
+
+    ``phrases``: roles (actor, target, targets, aided) to the groups with their
+    names; ``lookups``: fields to a group and what its values stand for, the
+    empty value for any other.
+    """
 
     name: str
     kind: str
@@ -185,6 +209,8 @@ class TextRule:
     confidence: float
     gate: tuple[str, ...] = ()
     constants: dict[str, str] = field(default_factory=dict)
+    phrases: dict[str, str] = field(default_factory=dict)
+    lookups: dict[str, tuple[str, dict[str, str]]] = field(default_factory=dict)
 
     @property
     def groups(self) -> list[str]:
@@ -208,3 +234,51 @@ def first_match(text: Column, gate: Column, rules: list[TextRule], unknown: str)
         out = F.when(hit, made) if out is None else out.when(hit, made)
     none = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(unknown).alias("kind"), F.lit(0.0).alias("confidence"), F.create_map().cast("map<string,string>").alias("fields"))
     return none if out is None else out.otherwise(none)
+
+
+def stated(lines: DataFrame, text: str, gate: Column, rules: list[TextRule], unknown: str, singles: tuple[str, ...]) -> DataFrame:
+    """``lines`` with ``rule, kind, rule_confidence, fields, targets``: what each text states by the first rule that matches.
+
+    ``text`` is a column of clean lines.  ``fields`` holds a value for each of
+    ``singles``, or null; a phrase of one name is the field ``actor`` or
+    ``target``, one of several names is in ``targets``; the mark of the other
+    side becomes the field ``side``.  Texts that no rule knows are left out.
+    """
+    got = first_match(F.replace(F.col(text), F.lit("\n"), F.lit("")), gate, rules, unknown)
+    # generated rows keep the rules from being copied into filters
+    rows = lines.withColumn("_g", F.explode(F.array(got))).where(F.col("_g.kind") != unknown)
+    raw, rule = F.col("_g.fields"), F.col("_g.rule")
+
+    def by_rule(pairs: list[tuple[str, Column]]) -> Column:
+        out = F.lit(None).cast("string")
+        for name, value in pairs:
+            out = F.when(rule == name, value).otherwise(out)
+        return out
+
+    phrase = lambda role: subjects(by_rule([(r.name, raw[r.phrases[role]]) for r in rules if role in r.phrases]))
+    rows = rows.withColumns({f"_{role}": phrase(role) for role in ("actor", "target", "targets", "aided")})
+    go = F.when(rule.isin(*[r.name for r in rules if r.phrases.get("lines")]), go_targets(F.col(text)))
+    rows = rows.withColumn("_go", go)
+    one = lambda c: F.when(F.size(c) == 1, F.get(c, 0))
+    several = lambda c: F.when(F.size(c) > 1, c)
+    looked: dict[str, list[tuple[str, Column]]] = {}
+    for r in rules:
+        for name, (group, values) in r.lookups.items():
+            value = F.lit(values.get(""))
+            for k, v in values.items():
+                if k:
+                    value = F.when(raw[group] == k, v).otherwise(value)
+            looked.setdefault(name, []).append((r.name, value))
+    derived = {
+        "actor": F.coalesce(one(F.col("_actor.names")), one(F.col("_go"))),
+        "target": F.coalesce(one(F.col("_target.names")), F.get(F.col("_aided.names"), 0)),
+        "side": F.coalesce("_actor.side", "_target.side", "_targets.side", "_aided.side", by_rule(looked.pop("side", []))),
+    }
+    for name in singles:
+        if name not in derived:
+            derived[name] = F.coalesce(by_rule(looked.get(name, [])), raw[name])
+    none = F.array().cast("array<string>")
+    targets = F.coalesce(several(F.col("_actor.names")), several(F.col("_target.names")), F.col("_targets.names"), F.col("_go"), none)
+    fields = F.create_map(*[x for n in singles for x in (F.lit(n), F.nullif(F.trim(derived[n]), F.lit("")))])
+    made = rows.select(*lines.columns, rule.alias("rule"), F.col("_g.kind").alias("kind"), F.col("_g.confidence").alias("rule_confidence"), fields.alias("fields"), targets.alias("targets"))
+    return made

@@ -18,6 +18,9 @@ from tracefold.functions.scores import has_pairs
 from tracefold.operators.sequence import running_sums
 from tracefold.session import cut_lineage
 
+# Weights of an edge's confidence (rule, events), what an agreeing optional pair adds to the rule's base,
+# and the most that comes of it.
+EDGE_WEIGHTS, OPTIONAL_BONUS, MOST_BASE = (0.8, 0.2), 0.02, 0.99
 
 RULES = (
     "rule_order int, rule string, source_kind string, target_kind string, most double, barred boolean, relation string, mode string, base double, "
@@ -33,16 +36,12 @@ def _values(event: Column, key: Column) -> Column:
     return F.array_compact(F.concat(one, F.coalesce(named, F.array().cast("array<string>"))))
 
 
-def _pairs(text: str) -> list[tuple[str, str]]:
-    return [tuple(p.split("=")) for p in text.split(",") if p]
-
-
 def rule_rows(rules: list[tuple]) -> list[tuple]:
     """The rule table's rows, one for each target kind."""
     return [
-        (i, rule, source, target, most, barred, relation, mode, base, _pairs(required), _pairs(optional), dict(_pairs(s_if)), dict(_pairs(t_if)))
+        (i, rule, source, target, most, barred, relation, mode, base, list(required), list(optional), dict(s_if), dict(t_if))
         for i, (rule, source, targets, most, required, optional, relation, base, barred, mode, s_if, t_if) in enumerate(rules)
-        for target in targets.split("/")
+        for target in targets
     ]
 
 
@@ -79,8 +78,8 @@ def proposals(events: DataFrame, rules: list[tuple], entity: str, start: str, en
     agrees = lambda m: F.arrays_overlap(_values(source, m["s"]), _values(target, m["t"]))
     stated = lambda m: (F.size(_values(source, m["s"])) > 0) & (F.size(_values(target, m["t"])) > 0)
     made = pairs.where(holds & F.forall("optional", lambda m: ~stated(m) | agrees(m)))
-    bonus = 0.02 * F.size(F.filter("optional", agrees))
-    strength = 0.8 * F.least(F.lit(0.99), F.col("base") + bonus) + 0.2 * F.least("s.c", "t.c")
+    bonus = OPTIONAL_BONUS * F.size(F.filter("optional", agrees))
+    strength = EDGE_WEIGHTS[0] * F.least(F.lit(MOST_BASE), F.col("base") + bonus) + EDGE_WEIGHTS[1] * F.least("s.c", "t.c")
     return made.select(F.col("_e").alias(entity), F.col("s.id").alias("source"), F.col("t.id").alias("target"), "rule", "rule_order", "relation", "mode", F.bround(strength, 6).alias("confidence"), F.bround(gap, 6).alias("gap"))
 
 
@@ -107,22 +106,25 @@ def roots(links: DataFrame, rounds: int = 30) -> DataFrame:
     raise ValueError("the links are no forest, or deeper than the rounds allow")
 
 
-def grouped(events: DataFrame, parents: DataFrame, entity: str, start: str, end: str, event_id: str, kind: str, confidence: str) -> DataFrame:
-    """Groups: ``entity, root, n_events, start, end, confidence, event_ids, kinds, status``.
+def grouped(events: DataFrame, parents: DataFrame, entity: str, start: str, end: str, event_id: str, kind: str, confidence: str, stands: Column | None = None) -> DataFrame:
+    """Groups: ``entity, root, n_events, start, end, confidence, event_ids, kinds, status, rules, stands``.
 
     Only links merge; an edge between two groups leaves both for review.
+    ``rules`` are those of the group's inner edges; ``stands`` is the value of
+    that expression for the group's first event.
     """
     parents = cut_lineage(parents)
+    events = events.withColumn("_stands", F.lit(None).cast("boolean") if stands is None else stands)
     links = parents.where("mode = 'link'").select(F.col("target").alias("child"), F.col("source").alias("parent"))
     found = roots(links)
     rows = events.join(found.withColumnRenamed("node", event_id), event_id, "left").withColumn("root", F.coalesce("root", event_id))
     member = rows.select(F.col(event_id).alias("_id"), F.col("root").alias("_root"))
-    edges = parents.select("source", "target", "mode", F.col("confidence").alias("_ec"))
+    edges = parents.select("source", "target", "mode", "rule", F.col("confidence").alias("_ec"))
     touched = edges.join(member.withColumnRenamed("_id", "source"), "source").withColumnRenamed("_root", "_sr").join(member.withColumnRenamed("_id", "target"), "target")
-    by_root = touched.select(F.explode(F.array_distinct(F.array("_sr", "_root"))).alias("root"), "_ec", (F.col("_sr") != F.col("_root")).alias("_open"))
-    by_root = by_root.groupBy("root").agg(F.min("_ec").alias("_ec"), F.max("_open").alias("_open"))
-    item = F.struct(F.col(start).alias("t"), F.col(event_id).alias("id"), F.col(kind).alias("k"))
+    by_root = touched.select(F.explode(F.array_distinct(F.array("_sr", "_root"))).alias("root"), "_ec", (F.col("_sr") != F.col("_root")).alias("_open"), "rule")
+    by_root = by_root.groupBy("root").agg(F.min("_ec").alias("_ec"), F.max("_open").alias("_open"), F.sort_array(F.collect_set(F.when(~F.col("_open"), F.col("rule")))).alias("rules"))
+    item = F.struct(F.col(start).alias("t"), F.col(event_id).alias("id"), F.col(kind).alias("k"), F.col("_stands").alias("s"))
     groups = rows.groupBy(entity, "root").agg(F.count(F.lit(1)).alias("n_events"), F.min(start).alias("start"), F.max(end).alias("end"), F.min(confidence).alias("_c"), F.sort_array(F.collect_list(item)).alias("_items"))
     out = groups.join(by_root, "root", "left")
     status = F.when(F.col("_open"), "needs_review").when(F.col("_open").isNotNull(), "linked").otherwise("alone")
-    return out.select(entity, "root", "n_events", "start", "end", F.bround(F.coalesce("_ec", "_c"), 6).alias("confidence"), F.transform("_items", lambda x: x["id"]).alias("event_ids"), F.transform("_items", lambda x: x["k"]).alias("kinds"), status.alias("status"))
+    return out.select(entity, "root", "n_events", "start", "end", F.bround(F.coalesce("_ec", "_c"), 6).alias("confidence"), F.transform("_items", lambda x: x["id"]).alias("event_ids"), F.transform("_items", lambda x: x["k"]).alias("kinds"), status.alias("status"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"), F.get("_items", 0)["s"].alias("stands"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as tx
 from tracefold.operators import correlate, machines, state, voting
 from tracefold.plans import tables
-from tracefold.plans.fixed_values import BARRIERS, LEAST_GAP, LINK_FROM, LOOK_BACK, NARRATION, RELATIONS, ROLES
+from tracefold.plans.fixed_values import BARRIERS, BATCH_RULES, LEAST_GAP, LINK_FROM, LOOK_BACK, NARRATION, RELATIONS, SINGLES, STANDALONE
 from tracefold.plans.tables import with_tables
 
 QUERIES: dict = {}
@@ -29,7 +31,12 @@ def query(sql: str | None = None):
 # --- text features -----------------------------------------------------------
 
 _NARROW = f"translate(raw_text, '{tx.WIDE}', '{tx.NARROW}')"
-_COMPACT = f"regexp_replace({_NARROW}, '[ \\t\\r\\n]+', '', 'g')"
+# Compatibility forms of one character, by rule; the only longer one in the tables is that of the ellipsis.
+_SINGLE = [(chr(c), n) for c in range(0x80, 0x30000) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)]
+_COMPAT = "nfc_normalize(translate(replace(raw_text, '…', '...'), '{}', '{}'))".format(*("".join(x).replace("'", "''") for x in zip(*_SINGLE)))
+_BARE = f"regexp_replace(regexp_replace({_COMPAT}, '{tx.INKLESS}', '', 'g'), '{tx.BLANKS}', '', 'g')"
+_LINES = f"regexp_replace(regexp_replace({_BARE}, '[\\r\\n]+', chr(10), 'g'), '^\\n+|\\n+$', '', 'g')"
+_COMPACT = f"replace({_LINES}, chr(10), '')"
 _CJK = tx.CJK
 
 
@@ -65,11 +72,19 @@ def reading_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_id", exact["current"].cast("double").alias("current_hp"), exact["most"].cast("double").alias("max_hp"), tx.percentage(c).alias("percent"), tx.status_word(c).alias("status_word"), tx.shortest_name(c).alias("name"), tx.single_marker(c).cast("double").alias("marker"))
 
 
-@query(
-    with_tables("pr")
-    + f""", p AS (SELECT candidate_id, regexp_replace({_COMPACT}, '[\\x{{21}}-\\x{{2F}}\\x{{3A}}-\\x{{40}}]', '', 'g') AS t FROM pr WHERE raw_text IS NOT NULL)
-SELECT candidate_id, CASE WHEN starts_with(t, '對手的') THEN 'opponent' END AS side, array_to_string(list_filter(regexp_split_to_array(CASE WHEN starts_with(t, '對手的') THEN t[4:] ELSE t END, '[和、]'), lambda x: x <> ''), '|') AS names FROM p"""
-)
+def _parts_sql(phrase: str) -> str:
+    return f"regexp_split_to_array(regexp_replace(regexp_replace(trim({phrase}), '[!！。.?？]+$', ''), '^{tx.NOT_CJK}+({_CJK})', '\\1'), '[和、]')"
+
+
+def _names_sql(phrase: str) -> str:
+    return f"list_filter(list_transform({_parts_sql(phrase)}, lambda x: regexp_replace(trim(regexp_replace(x, '^對手的', '')), '的+$', '')), lambda x: x <> '')"
+
+
+def _side_sql(phrase: str) -> str:
+    return f"CASE WHEN list_bool_or(list_transform({_parts_sql(phrase)}, lambda x: starts_with(x, '對手的'))) THEN 'opponent' END"
+
+
+@query(with_tables("pr") + f", p AS (SELECT candidate_id, {_COMPACT} AS t FROM pr WHERE raw_text IS NOT NULL) SELECT candidate_id, {_side_sql('t')} AS side, array_to_string({_names_sql('t')}, '|') AS names FROM p")
 def subject_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tx.subjects(tx.compact(F.col("raw_text")))
     return tables.lines(spark, sf_dir).where("raw_text IS NOT NULL").select("candidate_id", s["side"].alias("side"), F.array_join(s["names"], "|").alias("names"))
@@ -120,53 +135,48 @@ def narration_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("got", got).select("candidate_id", "got.rule", "got.kind", (F.col("got.kind") == F.col("expected_type")).alias("agrees"))
 
 
-_ROLE_NAMES = sorted({role for roles in ROLES.values() for role in roles} | {"action", "result", "cause", "actor", "target"})
-
-
 def narration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read from the narration lines: one point in time each.
-
-    ``fields`` has participants as they were read; in ``named`` a phrase of
-    several names is taken out, and its members are in ``targets``.
-    """
+    """Events read from the narration lines: one point in time each, with what they state (see ``text.stated``)."""
     rows = tables.ocr(spark, sf_dir).where("role = 'battle_text' AND raw_text IS NOT NULL AND pts IS NOT NULL")
-    got = rows.withColumn("got", tx.first_match(tx.compact(F.col("raw_text")), F.lit("BATTLE_TEXT"), NARRATION, "UNKNOWN_EVENT")).where("got.kind <> 'UNKNOWN_EVENT'")
-
-    def role(name: str):
-        value = None
-        for kind, roles in ROLES.items():
-            if roles.get(name, name) != name:
-                hit = F.col("got.fields")[roles[name]]
-                value = F.when(F.col("got.kind") == kind, hit) if value is None else value.when(F.col("got.kind") == kind, hit)
-        plain = F.col("got.fields")[name]
-        return F.regexp_replace(plain if value is None else value.otherwise(plain), "^對手的", "")
-
-    fields = F.create_map(*[x for n in _ROLE_NAMES for x in (F.lit(n), role(n))])
-    got = got.withColumn("fields", fields)
-    parts = {n: tx.members(F.col("fields")[n]) for n in ("actor", "target")}
-    one = lambda k, v: F.when(k.isin(*parts), F.when(F.size(tx.members(v)) == 1, tx.members(v)[0])).otherwise(v)
-    several = [F.when(F.size(x) > 1, x) for x in parts.values()]
-    sent = F.when(F.col("got.rule") == "switch.go", tx.go_targets(F.col("raw_text")))
-    none = F.array().cast("array<string>")
-    targets = F.array_distinct(F.concat(*[F.coalesce(x, none) for x in (*several, sent)]))
-    return got.select("replay_id", F.col("request_id").alias("event_id"), F.col("pts").alias("start"), F.col("pts").alias("end"), F.col("got.kind").alias("kind"), "fields", F.transform_values("fields", one).alias("named"), targets.alias("targets"), F.col("got.fields")["change"].alias("change"), F.least("confidence", "got.confidence").alias("confidence"))
-
-
-def _role_sql(name: str) -> str:
-    cases = []
-    for r in NARRATION:
-        source = ROLES.get(r.kind, {}).get(name, name)
-        if source in r.groups:
-            cases.append(f"WHEN '{r.name}' THEN regexp_extract(t, '^(?:{r.pattern})$', {r.groups.index(source) + 1})")
-        elif source in r.constants:
-            cases.append(f"WHEN '{r.name}' THEN '{r.constants[source]}'")
-    return f"nullif(trim(regexp_replace(CASE rule {' '.join(cases)} END, '^對手的', '')), '')" if cases else "NULL::VARCHAR"
+    rows = rows.select("replay_id", F.col("request_id").alias("event_id"), F.col("pts").alias("start"), F.col("pts").alias("end"), "confidence", F.upper("role").alias("_gate"), tx.clean_lines(F.col("raw_text")).alias("_lines"))
+    said = tx.stated(rows, "_lines", F.col("_gate"), NARRATION, "UNKNOWN_EVENT", SINGLES)
+    return said.withColumn("confidence", F.least("confidence", "rule_confidence")).drop("_gate", "_lines", "rule_confidence")
+
+
+def _group_sql(*names: str) -> str:
+    """A named group of the rule's pattern, from ``t``; null where it is empty."""
+    cases = [f"WHEN '{r.name}' THEN regexp_extract(t, '^(?:{r.pattern})$', {r.groups.index(n) + 1})" for r in NARRATION for n in names if n in r.groups]
+    return f"nullif(trim(CASE rule {' '.join(cases)} END), '')"
+
+
+# What each line states, written out for the SQL independently of the rule table's own metadata.
+_ACTORS = "('move.used', 'item.activated', 'ability.activated', 'move_result.helping_hand', 'transformation.activated', 'transformation.completed')"
+_SAID = {
+    "actor": "CASE WHEN len(an) = 1 THEN an[1] WHEN len(gn) = 1 THEN gn[1] END",
+    "target": "CASE WHEN len(tn) = 1 THEN tn[1] ELSE dn[1] END",
+    "side": "coalesce(a_side, t_side, s_side, d_side, CASE WHEN rule = 'side_condition.tailwind_started' THEN CASE WHEN g_whose = '對手' THEN 'opponent' ELSE 'player' END WHEN rule = 'side_condition.tailwind_ended' THEN CASE WHEN g_whose = '對手的' THEN 'opponent' ELSE 'player' END END)",
+    **{n: f"g_{n}" for n in ("move", "ability", "item", "trainer", "status", "stat", "weather", "terrain", "counter", "form", "device", "loser")},
+    "cause": "CASE rule WHEN 'status.damage' THEN 'status' WHEN 'damage.recoil' THEN 'recoil' WHEN 'damage.hp_loss' THEN 'unspecified' END",
+    "direction": "CASE WHEN rule = 'stat.changed' THEN CASE WHEN contains(g_change, '提高') THEN 'raise' ELSE 'lower' END END",
+    "magnitude": "CASE WHEN rule = 'stat.changed' THEN CASE WHEN contains(g_change, '大幅') THEN '2' ELSE '1' END END",
+    "effect": "CASE rule WHEN 'field.activated' THEN '滅亡之歌' WHEN 'side_condition.tailwind_started' THEN '順風' WHEN 'side_condition.tailwind_ended' THEN '順風' WHEN 'volatile.counter_updated' THEN '滅亡計時' WHEN 'volatile.effect_ended' THEN replace(g_ended, '狀態', '') WHEN 'volatile.protect_started' THEN '守住' WHEN 'volatile.encore_started' THEN '再來一次' WHEN 'move_result.protected' THEN '守住' WHEN 'volatile.move_disabled' THEN '定身法' WHEN 'move_result.prevented' THEN '定身法' WHEN 'transformation.completed' THEN 'form_change' END",
+    "result": "CASE rule WHEN 'move_result.helping_hand' THEN 'helping_hand_ready' WHEN 'move_result.critical' THEN 'critical_hit' WHEN 'battle_result.forfeit' THEN 'forfeit' WHEN 'battle_result.win' THEN 'win' ELSE CASE WHEN kind = 'MOVE_RESULT' THEN split_part(rule, '.', 2) END END",
+    "action": "CASE rule WHEN 'move.used' THEN 'use' WHEN 'faint.fell' THEN 'faint' WHEN 'status.inflicted' THEN 'inflict' WHEN 'stat.changed' THEN 'change' WHEN 'move_result.helping_hand' THEN 'prepare' WHEN 'move_result.protected' THEN 'block' WHEN 'volatile.move_disabled' THEN 'apply' WHEN 'volatile.counter_updated' THEN 'update' WHEN 'volatile.effect_ended' THEN 'end' WHEN 'transformation.completed' THEN 'change' WHEN 'weather.ended' THEN 'end' WHEN 'weather.started' THEN 'start' WHEN 'side_condition.tailwind_started' THEN 'start' WHEN 'side_condition.tailwind_ended' THEN 'end' WHEN 'volatile.protect_started' THEN 'start' WHEN 'volatile.encore_started' THEN 'start' WHEN 'terrain.changed' THEN CASE WHEN g_verb IN ('消失', '結束', '恢復原狀') THEN 'end' ELSE 'start' END ELSE CASE kind WHEN 'SWITCH' THEN 'switch_in' WHEN 'DAMAGE_RESULT' THEN 'damage' WHEN 'MOVE_RESULT' THEN 'resolve' WHEN 'BATTLE_RESULT' THEN 'end' ELSE 'activate' END END",
+}
+_GROUPS = ("move", "ability", "item", "trainer", "status", "stat", "weather", "terrain", "counter", "form", "device", "loser", "change", "verb", "whose", "ended", "sent", "aided")
+_GO = "list_filter(flatten(list_transform(string_split(regexp_replace(l, '^上吧[!！]', ''), chr(10)), lambda x: regexp_split_to_array(regexp_replace(trim(x), '[!！。.?？]+$', ''), '[和、]'))), lambda x: x <> '')"
 
 
 _CONF = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {r.confidence}::DOUBLE" for r in NARRATION) + " END"
-_EVENTS = with_tables("oc") + f""", c0 AS (SELECT *, {_COMPACT} AS t, 'BATTLE_TEXT' AS gate FROM oc WHERE role = 'battle_text' AND raw_text IS NOT NULL AND pts IS NOT NULL),
-p0 AS (SELECT *, {_RULE} AS rule FROM c0),
-e0 AS (SELECT replay_id AS e, request_id AS id, pts AS a, {_KIND} AS kind, least(confidence, {_CONF}) AS c, {", ".join(f"{_role_sql(n)} AS {n}" for n in _ROLE_NAMES)} FROM p0 WHERE rule IS NOT NULL),
+_EVENTS = with_tables("oc") + f""", c0 AS (SELECT *, upper(role) AS gate, {_LINES} AS l FROM oc WHERE role = 'battle_text' AND raw_text IS NOT NULL AND pts IS NOT NULL),
+c1 AS (SELECT *, replace(l, chr(10), '') AS t FROM c0),
+p0 AS (SELECT *, {_RULE} AS rule FROM c1),
+p1 AS (SELECT *, {_KIND} AS kind, {_group_sql("subject", "subjects", "target")} AS who, {", ".join(f"{_group_sql(n)} AS g_{n}" for n in _GROUPS)} FROM p0 WHERE rule IS NOT NULL),
+p2 AS (SELECT *, CASE WHEN rule IN {_ACTORS} THEN who END AS ap, CASE WHEN rule NOT IN {_ACTORS} THEN who END AS tp FROM p1),
+p3 AS (SELECT *, {_names_sql("ap")} AS an, {_names_sql("tp")} AS tn, {_names_sql("g_sent")} AS sn, {_names_sql("g_aided")} AS dn, CASE WHEN rule = 'switch.go' THEN {_GO} END AS gn,
+  {_side_sql("ap")} AS a_side, {_side_sql("tp")} AS t_side, {_side_sql("g_sent")} AS s_side, {_side_sql("g_aided")} AS d_side FROM p2),
+e0 AS (SELECT replay_id AS e, request_id AS id, pts AS a, kind, rule, least(confidence, {_CONF}) AS c, {", ".join(f"nullif(trim({_SAID[n]}), '') AS {n}" for n in SINGLES)},
+  CASE WHEN len(an) > 1 THEN an WHEN len(tn) > 1 THEN tn WHEN rule = 'switch.sent_out' THEN sn WHEN rule = 'switch.go' THEN gn ELSE [] END AS targets FROM p3),
 n0 AS (SELECT *, row_number() OVER w AS seq, CASE WHEN kind IN {BARRIERS} THEN 1 ELSE 0 END AS is_bar,
   sum(CASE WHEN kind IN {BARRIERS} THEN 1 ELSE 0 END) OVER (PARTITION BY e ORDER BY a, id ROWS UNBOUNDED PRECEDING) AS bars FROM e0 WINDOW w AS (PARTITION BY e ORDER BY a, id)),
 pairs AS MATERIALIZED (SELECT s AS s, t AS t, t.a - s.a AS gap, t.bars - t.is_bar - s.bars AS between_ FROM n0 s JOIN n0 t ON s.e = t.e AND s.seq < t.seq AND t.a - s.a BETWEEN {LEAST_GAP} AND {LOOK_BACK})"""
@@ -174,18 +184,20 @@ pairs AS MATERIALIZED (SELECT s AS s, t AS t, t.a - s.a AS gap, t.bars - t.is_ba
 
 def _list(side: str, key: str) -> str:
     names = ("actor", "target") if key == "participants" else (key,)
-    return f"list_filter([{', '.join(f'{side}.{n}' for n in names)}], lambda x: x IS NOT NULL)"
+    one = f"[{', '.join(f'{side}.{n}' for n in names)}]"
+    every = f"list_concat({one}, {side}.targets)" if key in ("participants", "target") else one
+    return f"list_filter({every}, lambda x: x IS NOT NULL)"
 
 
 def _rule_sql(i: int, rule: tuple) -> str:
     name, source, target, most, required, optional, relation, base, barred, mode, s_if, t_if = rule
-    where = [f"s.kind = '{source}'", f"t.kind IN ({', '.join(repr(k) for k in target.split('/'))})", f"gap <= {most}"]
+    where = [f"s.kind = '{source}'", f"t.kind IN ({', '.join(repr(k) for k in target)})", f"gap <= {most}"]
     where += ["between_ <= 0"] if barred else []
-    where += [f"{side}.{p.split('=')[0]} = '{p.split('=')[1]}'" for side, text in (("s", s_if), ("t", t_if)) for p in text.split(",") if p]
-    where += [f"list_has_any({_list('s', p.split('=')[0])}, {_list('t', p.split('=')[1])})" for p in required.split(",") if p]
+    where += [f"{side}.{k} = '{v}'" for side, pairs in (("s", s_if), ("t", t_if)) for k, v in pairs]
+    where += [f"list_has_any({_list('s', x)}, {_list('t', y)})" for x, y in required]
     bonus = ["0"]
-    for p in filter(None, optional.split(",")):
-        a, b = _list("s", p.split("=")[0]), _list("t", p.split("=")[1])
+    for x, y in optional:
+        a, b = _list("s", x), _list("t", y)
         where.append(f"(len({a}) = 0 OR len({b}) = 0 OR list_has_any({a}, {b}))")
         bonus.append(f"list_has_any({a}, {b})::INT")
     return f"SELECT s.e AS replay_id, s.id AS source, t.id AS target, '{name}' AS rule, {i} AS rule_order, '{relation}' AS relation, '{mode}' AS mode, round_even((0.8::DOUBLE * least(0.99::DOUBLE, {base}::DOUBLE + 0.02::DOUBLE * ({' + '.join(bonus)})) + 0.2::DOUBLE * least(s.c, t.c)), 6) AS confidence, round_even(gap, 6) AS gap FROM pairs WHERE " + " AND ".join(where)
@@ -200,12 +212,12 @@ found AS (SELECT node, top AS root FROM up WHERE top NOT IN (SELECT child FROM l
 
 
 def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.proposals(narration(spark, sf_dir), RELATIONS, "replay_id", "start", "end", "event_id", "kind", "named", "confidence", BARRIERS, LOOK_BACK, LEAST_GAP, "targets")
+    return correlate.proposals(narration(spark, sf_dir), RELATIONS, "replay_id", "start", "end", "event_id", "kind", "fields", "confidence", BARRIERS, LOOK_BACK, LEAST_GAP, "targets")
 
 
-@query(_EVENTS + "SELECT e AS replay_id, id AS event_id, kind, actor, target, move, round_even(c, 6) AS confidence FROM e0")
+@query(_EVENTS + f"SELECT e AS replay_id, id AS event_id, rule, kind, {', '.join(SINGLES)}, array_to_string(targets, '|') AS targets, round_even(c, 6) AS confidence FROM e0")
 def narration_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return narration(spark, sf_dir).select("replay_id", "event_id", "kind", *[F.nullif(F.trim(F.col("fields")[k]), F.lit("")).alias(k) for k in ("actor", "target", "move")], F.bround("confidence", 6).alias("confidence"))
+    return narration(spark, sf_dir).select("replay_id", "event_id", "rule", "kind", *[F.col("fields")[k].alias(k) for k in SINGLES], F.array_join("targets", "|").alias("targets"), F.bround("confidence", 6).alias("confidence"))
 
 
 @query(_PROPOSALS + "SELECT replay_id, source, target, rule, mode, confidence, gap FROM proposals")
@@ -242,6 +254,38 @@ def group_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("replay_id", "root", "n_events", F.bround("start", 6).alias("start_time"), F.bround("end", 6).alias("end_time"), "confidence", F.array_join("kinds", ">").alias("kinds"), "status")
 
 
+def stands_alone(kind, fields):
+    """Whether an event needs no parent: a major one, an independent one, damage of a status, an effect's update or end."""
+    return kind.isin(*STANDALONE) | F.coalesce((kind == "DAMAGE_RESULT") & (fields["cause"] == "status"), F.lit(False)) | F.coalesce((kind == "VOLATILE_STATUS") & fields["action"].isin("update", "end"), F.lit(False))
+
+
+_GROUPED = _ROOTS + f""", m AS (SELECT e0.*, coalesce(found.root, id) AS root FROM e0 LEFT JOIN found ON id = node),
+x AS (SELECT p.*, a.root AS sr, b.root AS tr FROM parents p JOIN m a ON p.source = a.id JOIN m b ON p.target = b.id),
+y AS (SELECT sr AS root, sr <> tr AS open, rule FROM x UNION ALL SELECT tr, sr <> tr, rule FROM x WHERE sr <> tr),
+z AS (SELECT root, max(open::INT) AS open, bool_and(rule IN {BATCH_RULES}) FILTER (NOT open) AS batch FROM y GROUP BY 1),
+f AS (SELECT DISTINCT ON (root) root, kind, cause, action FROM m ORDER BY root, a, id),
+g AS (SELECT e AS replay_id, root, count(*) AS n_events FROM m GROUP BY ALL)"""
+
+
+@query(
+    _GROUPED
+    + f""", s AS (SELECT g.*, f.kind, CASE WHEN open = 1 THEN 'needs_review' WHEN open = 0 THEN 'auto_accepted'
+  WHEN f.kind IN {STANDALONE} OR (f.kind = 'DAMAGE_RESULT' AND cause = 'status') OR (f.kind = 'VOLATILE_STATUS' AND action IN ('update', 'end')) THEN 'auto_accepted' ELSE 'unlinked' END AS review_status, batch
+  FROM g JOIN f USING (root) LEFT JOIN z ON z.root = g.root)
+SELECT replay_id, root, n_events, review_status, CASE WHEN review_status = 'unlinked' THEN 'UNLINKED_EVENT' WHEN n_events > 1 THEN CASE WHEN batch THEN 'EVENT_BATCH' ELSE 'ACTION_CHAIN' END
+  WHEN kind IN {BARRIERS} THEN 'STANDALONE_ACTION' ELSE 'STANDALONE_EVENT' END AS group_type FROM s"""
+)
+def group_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group with its review status and type."""
+    events = narration(spark, sf_dir)
+    parents = correlate.best_parent(_proposals(spark, sf_dir), LINK_FROM)
+    out = correlate.grouped(events, parents, "replay_id", "start", "end", "event_id", "kind", "confidence", stands_alone(F.col("kind"), F.col("fields")))
+    status = F.when(F.col("status") == "needs_review", "needs_review").when((F.col("status") == "linked") | F.col("stands"), "auto_accepted").otherwise("unlinked")
+    batch = (F.size("rules") > 0) & F.forall("rules", lambda r: r.isin(*BATCH_RULES))
+    kind = F.when(F.col("review_status") == "unlinked", "UNLINKED_EVENT").when((F.col("n_events") > 1) & batch, "EVENT_BATCH").when(F.col("n_events") > 1, "ACTION_CHAIN").when(F.get("kinds", 0).isin(*BARRIERS), "STANDALONE_ACTION").otherwise("STANDALONE_EVENT")
+    return out.withColumn("review_status", status).select("replay_id", "root", "n_events", "review_status", kind.alias("group_type"))
+
+
 # --- votes -------------------------------------------------------------------
 
 
@@ -293,7 +337,7 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the narration says about fields of entities, one row for each; ``part`` orders those of one event."""
     f = F.col("fields")
     who, stat = F.col("who"), F.col("stat")
-    shift = F.when(F.col("change").contains("降低"), -1).otherwise(1) * F.when(F.col("change").contains("大幅"), 2).otherwise(1)
+    shift = F.when(f["direction"] == "lower", -f["magnitude"].cast("int")).otherwise(f["magnitude"].cast("int"))
     op = lambda entity, field, how, value: F.struct(entity.alias("entity"), field.alias("field"), F.lit(how).alias("op"), value.cast("string").alias("value"))
     made = (
         F.when(F.col("kind") == "SWITCH", op(who, F.lit("active"), "replace", F.lit("true")))
@@ -304,9 +348,9 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # a filter on the kind, not on the operation, so that it is not copied into the scan's filter
     rows = narration(spark, sf_dir).where(F.col("kind").isin("SWITCH", "FAINT", "STATUS", "MOVE", "STAT_CHANGE"))
-    own = F.when(F.col("kind") == "MOVE", F.col("named")["actor"]).otherwise(F.col("named")["target"])
+    own = F.when(F.col("kind") == "MOVE", f["actor"]).otherwise(f["target"])
     rows = rows.select("*", F.posexplode(F.when(F.size("targets") > 0, F.col("targets")).otherwise(F.array(own))).alias("place", "who"))
-    rows = rows.select("*", F.posexplode(F.when(F.col("kind") == "STAT_CHANGE", F.split(f["stat"], "、")).otherwise(F.array(F.lit("")))).alias("_i", "stat")).withColumn("part", F.struct("place", "_i"))
+    rows = rows.select("*", F.posexplode(F.when(F.col("kind") == "STAT_CHANGE", tx.stats(f["stat"])).otherwise(F.array(F.lit("")))).alias("_i", "stat")).withColumn("part", F.struct("place", "_i"))
     return rows.withColumn("o", made).select("replay_id", "event_id", "start", "part", "o.*")
 
 
@@ -317,10 +361,13 @@ def state_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _EVENTS
-    + """, o AS (SELECT e AS replay_id, a, id, CASE kind WHEN 'MOVE' THEN actor ELSE target END AS entity, CASE kind WHEN 'STATUS' THEN 'status' WHEN 'MOVE' THEN 'moves' WHEN 'STAT_CHANGE' THEN 'stages' ELSE 'active' END AS field,
-  kind, status, move FROM e0 WHERE kind IN ('SWITCH', 'FAINT', 'STATUS', 'MOVE', 'STAT_CHANGE') AND CASE kind WHEN 'MOVE' THEN actor ELSE target END IS NOT NULL)
-SELECT replay_id, entity, field, CASE field WHEN 'active' THEN '"' || CASE arg_max(kind, struct_pack(a, id)) WHEN 'SWITCH' THEN 'true' ELSE 'false' END || '"' WHEN 'status' THEN '"' || arg_min(status, struct_pack(a, id)) || '"'
-  WHEN 'stages' THEN CAST(count(*) AS VARCHAR) ELSE '[' || array_to_string(list_transform(list_sort(list_distinct(list(move))), lambda x: '"' || x || '"'), ', ') || ']' END AS value FROM o GROUP BY replay_id, entity, field"""
+    + """, w AS (SELECT e AS replay_id, a, id, kind, status, move, direction, magnitude, stat, CASE WHEN len(targets) > 0 THEN targets ELSE [CASE kind WHEN 'MOVE' THEN actor ELSE target END] END AS names FROM e0 WHERE kind IN ('SWITCH', 'FAINT', 'STATUS', 'MOVE', 'STAT_CHANGE')),
+v AS (SELECT * EXCLUDE (names, stat), unnest(names) AS entity, CASE WHEN kind = 'STAT_CHANGE' THEN string_split(stat, '、') ELSE [''] END AS stats FROM w),
+o AS (SELECT * EXCLUDE (stats), unnest(stats) AS stat FROM v WHERE entity IS NOT NULL),
+q AS (SELECT *, CASE kind WHEN 'STATUS' THEN 'status' WHEN 'MOVE' THEN 'moves' WHEN 'STAT_CHANGE' THEN 'stage.' || stat ELSE 'active' END AS field, CASE direction WHEN 'lower' THEN -CAST(magnitude AS INT) ELSE CAST(magnitude AS INT) END AS shift FROM o)
+SELECT replay_id, entity, field, CASE any_value(kind) WHEN 'STATUS' THEN '"' || arg_min(status, struct_pack(a, id)) || '"' WHEN 'STAT_CHANGE' THEN CAST(sum(shift) AS VARCHAR)
+  WHEN 'MOVE' THEN '[' || array_to_string(list_transform(list_sort(list_distinct(list(move))), lambda x: '"' || x || '"'), ', ') || ']'
+  ELSE '"' || CASE arg_max(kind, struct_pack(a, id)) WHEN 'SWITCH' THEN 'true' ELSE 'false' END || '"' END AS value FROM q GROUP BY replay_id, entity, field"""
 )
 def state_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest(state_projection(spark, sf_dir), ["replay_id"])

@@ -204,7 +204,7 @@ _PATTERNS = [("status.burn", "STATUS", {"status": "灼傷"}), ("status.poison",
 
 def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rules = spark.createDataFrame(_PATTERNS, "rule string, kind string, pattern map<string,string>")
-    return rules, review.matching_rules(narration(spark, sf_dir), "kind", "fields", rules)
+    return rules, review.matching_rules(narration(spark, sf_dir).drop("rule"), "kind", "fields", rules)
 
 
 _MATCH_SQL = " UNION ALL ".join(f"SELECT '{r}' AS rule, id FROM e0 WHERE kind = '{k}'" + "".join(f" AND {f} = '{v}'" for f, v in p.items()) for r, k, p in _PATTERNS)

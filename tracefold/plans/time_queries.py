@@ -30,8 +30,9 @@ def query(sql: str | None = None):
     return add
 
 
-_LEAST = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEAST_SAMPLES.items()) + " END"
-_THR = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in STATES.items()) + " END"
+# written out for the SQL independently of the tables of fixed values
+_LEAST = "CASE kind WHEN 'BATTLE_TEXT' THEN 1 WHEN 'TRIGGER_NOTIFICATION' THEN 2 ELSE 3 END"
+_THR = "CASE kind WHEN 'TEAM_PREVIEW' THEN 0.84 WHEN 'SELECTED_FOUR' THEN 0.83 WHEN 'MOVE_MENU' THEN 0.80 WHEN 'RESULT' THEN 0.84 ELSE 0.50 END"
 
 
 @query(
@@ -251,7 +252,7 @@ def carried_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_tables("fr")
     + ", s AS (SELECT replay_id, sample_index, ["
     + ", ".join(f"struct_pack(s := candidate_scores['{k}'], o := {-i}, k := '{k}')" for i, k in enumerate(STATES))
-    + "] AS a FROM fr) SELECT replay_id, sample_index, coalesce(list_sort(list_filter(a, lambda x: x.s >= 0.5))[-1].k, 'UNKNOWN') AS state FROM s"
+    + "] AS a FROM fr) SELECT replay_id, sample_index, coalesce(list_sort(list_filter(a, lambda x: x.s >= CASE x.k WHEN 'TEAM_PREVIEW' THEN 0.84 WHEN 'SELECTED_FOUR' THEN 0.83 WHEN 'MOVE_MENU' THEN 0.80 WHEN 'RESULT' THEN 0.84 ELSE 0.50 END))[-1].k, 'UNKNOWN') AS state FROM s"
 )
 def best_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.frames(spark, sf_dir).select("replay_id", "sample_index", best_label(F.col("candidate_scores"), STATES).alias("state"))
