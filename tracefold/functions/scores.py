@@ -39,7 +39,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def correlation(a: Column, b: Column) -> Column:
-    centred = lambda x: F.transform(x, lambda v: v - F.aggregate(x, F.lit(0.0), lambda s, w: s + w) / F.size(x))
+    # the mean is bound once, as the element of an array of its own, not summed again for each value
+    mean = lambda x: F.array(F.aggregate(x, F.lit(0.0), lambda s, w: s + w) / F.size(x))
+    centred = lambda x: F.get(F.transform(mean(x), lambda m: F.transform(x, lambda v: v - m)), 0)
     return cosine(centred(a), centred(b))
 
 

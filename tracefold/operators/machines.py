@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.operators.temporal import islands
@@ -95,6 +95,45 @@ def hysteresis_segments(samples: DataFrame, keys: list[str], pos: str, level: st
     return pieces.repartition(*keys, "island").sortWithinPartitions(*keys, "island", "_p").mapInPandas(run, schema)
 
 
+# Least scores of a notice that is surely shown, proposed, or only going on.
+NOTICE_STRONG, NOTICE_WEAK, NOTICE_GOES_ON = 0.72, 0.5, 0.499
+
+
+def notice_level(score: Column) -> Column:
+    """The level of a proposal by its score; null is negative."""
+    return F.when(score >= NOTICE_STRONG, "strong").when(score >= NOTICE_WEAK, "weak").when(score >= NOTICE_GOES_ON, "continuation").otherwise("negative")
+
+
+# Weights of a proposal's parts, and the floors of its levels.
+NOTICE_WEIGHTS = {"text": 0.56, "panel": 0.18, "brightness": 0.12, "template": 0.09, "icon": 0.05}
+STRONG_COMBINED, WEAK_COMBINED, GOES_ON_COMBINED, STRONG_TEMPLATE, WEAK_TEMPLATE = 0.68, 0.47, 0.46, 0.82, 0.76
+
+
+def notice_proposal(text: Column, panel: Column, contrast: Column, template: Column, icon: Column, structure: Column, supported: Column) -> Column:
+    """``level, combined, score`` of a proposal from its features: parts from 0 to 1, ``structure`` strong, weak or none,
+    ``supported`` whether glyphs go on in its place."""
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    parts = {"text": text, "panel": panel, "brightness": unit((contrast - 0.08) / 0.25), "template": unit((template - 0.65) / 0.25), "icon": icon}
+    combined = unit(sum((NOTICE_WEIGHTS[k] * v for k, v in parts.items()), F.lit(0.0)))
+    some = structure.isin("strong", "weak")
+    strong = ((structure == "strong") & (combined >= STRONG_COMBINED)) | ((template >= STRONG_TEMPLATE) & some)
+    weak = some & ((combined >= WEAK_COMBINED) | (template >= WEAK_TEMPLATE))
+    level = F.when(strong, "strong").when(weak, "weak").when(supported & (combined >= GOES_ON_COMBINED), "continuation").otherwise("negative")
+    score = F.when(level == "strong", F.greatest(F.lit(NOTICE_STRONG), combined, template)).when(level == "weak", F.lit(NOTICE_WEAK)).when(level == "continuation", F.lit(NOTICE_GOES_ON))
+    score = score.otherwise(F.least(F.lit(NOTICE_GOES_ON), F.greatest(F.lit(0.0), 0.49 * combined, 0.24 * template)))
+    return F.struct(level.alias("level"), F.bround(combined, 6).alias("combined"), F.bround(score, 6).alias("score"))
+
+
+def with_span(segments: DataFrame, samples: DataFrame, keys: list[str], pos: str, time: str, score: str, counts: Column, period: float, block: int = 1024) -> DataFrame:
+    """``segments`` (``keys, first, last, hits``) with ``n_span``, the mean ``confidence`` of the samples that count and the
+    ``duration`` with one ``period`` more; samples meet segments in blocks of positions."""
+    rows = samples.select(*keys, F.col(pos).alias("_p"), F.col(time).alias("_t"), F.when(counts, F.col(score)).alias("_x"), F.floor(F.col(pos) / block).alias("_b"))
+    cut = segments.withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))))
+    held = cut.join(rows, [*keys, "_b"]).where("_p BETWEEN first AND last")
+    out = held.groupBy(*keys, "first", "last").agg(F.max("hits").alias("hits"), F.avg("_x").alias("_c"), F.min("_t").alias("_a"), F.max("_t").alias("_z"))
+    return out.select(*keys, "first", "last", "hits", (F.col("last") - F.col("first") + 1).alias("n_span"), F.bround("_c", 6).alias("confidence"), F.bround(F.greatest(F.lit(period), F.col("_z") - F.col("_a") + period), 6).alias("duration"))
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], schema: str, end: Callable[[object], list[tuple]] | None = None) -> DataFrame:
     """Rows that ``step(state, row)`` emits over each entity's rows in order; ``schema`` is of what it emits, after the keys."""
     full = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + schema

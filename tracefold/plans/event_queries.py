@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as tx
-from tracefold.operators import correlate, machines, state, voting
+from tracefold.operators import correlate, machines, state, text_machine, voting
 from tracefold.plans import tables
-from tracefold.plans.fixed_values import BARRIERS, BATCH_RULES, LEAST_GAP, LINK_FROM, LOOK_BACK, NARRATION, RELATIONS, SINGLES, STANDALONE
+from tracefold.plans.fixed_values import BARRIERS, BATCH_RULES, LEAST_GAP, LINK_FROM, LOOK_BACK, NARRATION, RELATIONS, SINGLES, STANDALONE, STATES
 from tracefold.plans.tables import with_tables
 
 QUERIES: dict = {}
@@ -321,12 +321,67 @@ def duplicate_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- folds -------------------------------------------------------------------
 
 
-@query()
+_LEVELS = "SELECT replay_id, CAST(sample_index AS BIGINT) AS p, battle_text_evidence.evidence_level AS lv FROM fr"
+
+
+def _hysteresis_sql(levels: str, confirm: int, gap: int) -> str:
+    """Runs of samples at most ``gap`` misses apart; the part from the first strong sample, or the first of ``confirm`` weak ones in a row."""
+    before = " AND ".join(f"lag(p, {i}) OVER k = p - {i} AND lag(lv, {i}) OVER k = 'weak'" for i in range(1, confirm))
+    return f""", a AS ({levels}), s AS (SELECT * FROM a WHERE lv IN ('strong', 'weak', 'continuation')),
+j AS (SELECT *, CASE WHEN p - lag(p) OVER k <= {gap + 1} THEN 0 ELSE 1 END AS new, CASE WHEN lv = 'strong' THEN p WHEN lv = 'weak' AND {before} THEN p - {confirm - 1} END AS opens FROM s WINDOW k AS (PARTITION BY replay_id ORDER BY p)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY replay_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS no FROM j),
+o AS (SELECT replay_id, no, arg_min(opens, p) AS first, arg_min(lv, p) AS how, max(p) FILTER (true) AS _ FROM i WHERE opens IS NOT NULL GROUP BY ALL),
+h AS (SELECT i.replay_id, o.first, max(p) AS last, count(*) FILTER (lv <> 'continuation') AS hits, any_value(how) AS how FROM i JOIN o USING (replay_id, no) WHERE p >= o.first GROUP BY i.replay_id, o.first)"""
+
+
+@query(with_tables("fr") + _hysteresis_sql(_LEVELS, 3, 1) + " SELECT replay_id, first, last, hits, CASE how WHEN 'strong' THEN 'strong' ELSE 'weak_confirmed' END AS reason FROM h")
 def hysteresis_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.frames(spark, sf_dir).select("replay_id", "sample_index", F.col("battle_text_evidence.evidence_level").alias("level"))
     return machines.hysteresis_segments(rows, ["replay_id"], "sample_index", "level", machines.Hysteresis(3, 1))
 
 
+_TRIGGER = "CASE WHEN x >= 0.72 THEN 'strong' WHEN x >= 0.5 THEN 'weak' WHEN x >= 0.499 THEN 'continuation' END"
+
+
+@query(
+    with_tables("fr")
+    + _hysteresis_sql(f"SELECT replay_id, CAST(sample_index AS BIGINT) AS p, {_TRIGGER} AS lv FROM (SELECT *, candidate_scores['TRIGGER_NOTIFICATION'] AS x FROM fr)", 2, 1)
+    + """, c AS (SELECT h.*, fr.pts, fr.candidate_scores['TRIGGER_NOTIFICATION'] AS x FROM h JOIN fr ON fr.replay_id = h.replay_id AND fr.sample_index BETWEEN h.first AND h.last)
+SELECT replay_id, first, last, any_value(hits) AS hits, last - first + 1 AS n_span, round_even(avg(x) FILTER (x >= 0.499), 6) AS confidence, round_even(greatest(0.1, max(pts) - min(pts) + 0.1), 6) AS duration FROM c GROUP BY replay_id, first, last"""
+)
+def trigger_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices shown: confidence over the samples that show one, length over all of the span."""
+    x = F.col("candidate_scores")["TRIGGER_NOTIFICATION"]
+    rows = tables.frames(spark, sf_dir).select("replay_id", F.col("sample_index").cast("long").alias("p"), "pts", x.alias("x"), machines.notice_level(x).alias("level"))
+    found = machines.hysteresis_segments(rows, ["replay_id"], "p", "level", machines.Hysteresis(2, 1))
+    return machines.with_span(found, rows, ["replay_id"], "p", "pts", "x", F.col("level") != "negative", 0.1)
+
+
+def _shown(spark: SparkSession, sf_dir: str):
+    """Frames, and the level, layout and strength that their text evidence gives."""
+    e = F.col("battle_text_evidence")
+    level = text_machine.evidence_level(e["evidence_level"], F.col("candidate_scores")["BATTLE_TEXT"], F.lit(0.0), STATES["BATTLE_TEXT"])
+    none = F.lit(None).cast("array<double>")
+    layout = F.struct(e["layout_hash"].alias("hash"), none.alias("rows"), none.alias("columns"), none.alias("box"), e["component_count"].alias("count"))
+    rows = tables.frames(spark, sf_dir).select("replay_id", "sample_index", level.alias("level"), layout.alias("layout"))
+    return rows, F.col("level"), F.col("layout"), F.lit(0.0)
+
+
+@query()
+def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of text shown, split where the layout changes and joined over short obstructions; tested against one pass and by cases."""
+    rows, level, layout, strength = _shown(spark, sf_dir)
+    return text_machine.text_segments(rows, ["replay_id"], "sample_index", level, layout, strength)
+
+
+@query()
+def text_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples by level and what they did to the segments of text."""
+    rows, level, _, _ = _shown(spark, sf_dir)
+    made = text_machine.decisions(rows, text_segments(spark, sf_dir), ["replay_id"], "sample_index", level)
+    return made.groupBy("level", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def deadband_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.hp(spark, sf_dir).withColumn("exact", F.col("value_type") != "visual_bar_estimate")
