@@ -354,3 +354,77 @@ def test_regression_lines_disagree_only_where_two_messages_are_joined(spark):
     for r in got:
         text = "".join(r.raw_text.split()).replace("！", "!")
         assert "!" in text.rstrip("!"), r.raw_text
+
+
+STORY = [
+    ("e01", "SWITCH", {"side": "player"}, ["甲", "乙"]),
+    ("e02", "SWITCH", {"side": "player"}, ["丙"]),  # a third on one side
+    ("e03", "STATUS", {"target": "丁", "status": "毒"}, []),  # side not known yet
+    ("e04", "STATUS", {"target": "丁", "side": "opponent", "status": "毒"}, []),  # the side becomes known
+    ("e05", "STATUS", {"target": "丁", "side": "player", "status": "毒"}, []),  # and another is stated
+    ("e06", "STATUS", {"target": "丁", "status": "灼"}, []),  # a different status
+    ("e07", "STATUS", {"target": "丁", "status": "麻"}, []),  # after a conflict nothing is known
+    ("e08", "FAINT", {"target": "甲"}, []),
+    ("e09", "SWITCH", {"side": "player"}, ["甲"]),  # fainted returns
+    ("e10", "SWITCH", {"side": "player"}, ["丙"]),  # room again
+    ("e11", "STAT_CHANGE", {"target": "乙", "stat": "防禦、特防", "direction": "raise", "magnitude": "2"}, []),
+    ("e12", "STAT_CHANGE", {"target": "乙", "stat": "命中率", "direction": "raise", "magnitude": "1"}, []),  # no such stat
+    ("e13", "WEATHER", {"weather": "雨", "action": "start"}, []),
+    ("e14", "WEATHER", {"weather": "雪", "action": "start"}, []),  # another weather
+    ("e15", "WEATHER", {"weather": "雪", "action": "end"}, []),
+    ("e16", "SIDE_CONDITION", {"side": "player", "effect": "順", "action": "start"}, []),
+    ("e17", "FIELD_EFFECT", {"effect": "歌", "counter": "3", "action": "activate"}, []),
+    ("e18", "VOLATILE_STATUS", {"target": "乙", "effect": "計", "counter": "2", "action": "update"}, []),
+    ("e19", "VOLATILE_STATUS", {"target": "乙", "effect": "計", "action": "end"}, []),
+    ("e20", "TRANSFORMATION", {"actor": "乙", "form": "大乙", "action": "change"}, []),
+    ("e21", "TRANSFORMATION", {"actor": "乙", "item": "石", "device": "環", "action": "activate"}, []),  # a completed phase does not go back
+    ("e22", "ABILITY", {"actor": "乙", "ability": "b"}, []),
+    ("e23", "ABILITY", {"actor": "乙", "ability": "a"}, []),
+    ("e24", "BATTLE_RESULT", {"result": "win", "loser": "紅"}, []),
+    ("e25", "BATTLE_RESULT", {"result": "win", "loser": "藍"}, []),  # a different loser
+    ("e26", "MOVE", {"actor": "戊", "move": "m"}, []),  # registers only
+    ("e27", "FAINT", {}, []),  # nobody named
+]
+
+
+@pytest.fixture()
+def story(spark, monkeypatch):
+    rows = [("r", e, float(i), float(i), 0.9, k, k, {n: f.get(n) for n in SINGLES}, t) for i, (e, k, f, t) in enumerate(STORY)]
+    df = spark.createDataFrame(rows, "replay_id string, event_id string, start double, end double, confidence double, rule string, kind string, fields map<string,string>, targets array<string>").repartition(4)
+    monkeypatch.setattr(event_queries, "narration", lambda *_: df)
+
+
+def test_the_state_of_a_story(spark, story):
+    rows = event_queries.state_changes(spark, "").collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.seq):
+        got.setdefault(r.event_id, []).append((r.entity, r.field, r.status, r.after))
+    assert [r.seq for r in sorted(rows, key=lambda r: r.seq)] == list(range(1, len(rows) + 1))
+    assert got["e01"] == [("甲", "side", "applied", '"player"'), ("甲", "active", "applied", '"true"'), ("乙", "side", "applied", '"player"'), ("乙", "active", "applied", '"true"')]
+    assert got["e03"] == [("丁", "side", "applied", '"unknown"'), ("丁", "status", "applied", '"毒"')]
+    assert got["e04"] == [("丁", "side", "applied", '"opponent"'), ("丁", "status", "no_op", '"毒"')]
+    assert got["e05"] == [("丁", "side", "conflict", "player")]
+    assert got["e06"][0][2:] == ("conflict", '["毒", "灼"]') and got["e07"][0][2:] == ("applied", '"麻"')
+    assert got["e11"] == [("乙", "stat_stages.defense", "applied", "2"), ("乙", "stat_stages.special_defense", "applied", "2")]
+    assert got["e12"] == [(None, None, "unresolved", None)] and got["e27"] == [(None, None, "unresolved", None)]
+    assert [got[e][0][2] for e in ("e13", "e14", "e15")] == ["applied", "conflict", "applied"]
+    assert got["e18"][0][3] == '"true#2"' and got["e19"][0][3] == '"false#2"'
+    assert got["e20"][0][2] == "applied" and got["e21"][0][2] == "conflict"
+    assert got["e23"][0][3] == '["a", "b"]' and got["e17"][0][3] == '"true#3"'
+    assert got["e25"] == [("battle", "result", "no_op", '"win"'), ("battle", "loser", "conflict", '["紅", "藍"]')]
+    assert got["e26"] == [("戊", "side", "applied", '"unknown"')]
+
+
+def test_active_sets_deltas_and_snapshots_of_a_story(spark, story):
+    active = {(r.event_id, r.name): (r.outcome, r.active) for r in event_queries.active_sets(spark, "").collect()}
+    assert active["e01", "乙"] == ("applied", "乙,甲") and active["e02", "丙"] == ("overflow", "乙,甲")
+    assert active["e08", "甲"] == ("applied", "乙") and active["e09", "甲"][0] == "fainted_returns" and active["e10", "丙"] == ("applied", "丙,乙")
+    deltas = {r.event_id: r for r in event_queries.state_deltas(spark, "").collect()}
+    assert len(deltas) == len(STORY)
+    assert {e: deltas[e].status for e in ("e01", "e05", "e12", "e25")} == {"e01": "applied", "e05": "conflicted", "e12": "unresolved", "e25": "conflicted"}
+    assert deltas["e12"].confidence == pytest.approx(0.9 * 0.65) and deltas["e03"].confidence == pytest.approx((0.9 * 0.86 + 0.9) / 2)
+    snaps = sorted(event_queries.state_snapshots(spark, "").collect(), key=lambda r: r.seq)
+    assert [r.seq for r in snaps] == list(range(len(STORY) + 1)) and (snaps[0].n_known, snaps[0].completeness) == (0, 0.0)
+    assert (snaps[1].n_known, snaps[1].n_entities, snaps[1].confidence) == (4, 2, 0.9)
+    assert snaps[1].completeness == pytest.approx(0.16 * 4 / 8)
+    assert snaps[-1].n_entities == 5 and snaps[-1].completeness > 0.2

@@ -280,5 +280,5 @@ def stated(lines: DataFrame, text: str, gate: Column, rules: list[TextRule], unk
     none = F.array().cast("array<string>")
     targets = F.coalesce(several(F.col("_actor.names")), several(F.col("_target.names")), F.col("_targets.names"), F.col("_go"), none)
     fields = F.create_map(*[x for n in singles for x in (F.lit(n), F.nullif(F.trim(derived[n]), F.lit("")))])
-    made = rows.select(*lines.columns, rule.alias("rule"), F.col("_g.kind").alias("kind"), F.col("_g.confidence").alias("rule_confidence"), fields.alias("fields"), targets.alias("targets"))
-    return made
+    made = F.struct(rule.alias("rule"), F.col("_g.kind").alias("kind"), F.col("_g.confidence").alias("rule_confidence"), fields.alias("fields"), targets.alias("targets"))
+    return rows.select(*lines.columns, F.explode(F.array(made)).alias("_said")).select(*lines.columns, "_said.*")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import text as tx
 from tracefold.operators import correlate, machines, state, text_machine, voting
+from tracefold.operators.sequence import lagged
 from tracefold.plans import tables
-from tracefold.plans.fixed_values import BARRIERS, BATCH_RULES, LEAST_GAP, LINK_FROM, LOOK_BACK, NARRATION, RELATIONS, SINGLES, STANDALONE, STATES
+from tracefold.plans.fixed_values import BARRIERS, BATCH_RULES, COMPLETENESS, FACTORS, LEAST_GAP, LINK_FROM, LOOK_BACK, NARRATION, RELATIONS, REQUIRED, SINGLES, STAGE_BOUNDS, STANDALONE, STATES, STATS
 from tracefold.plans.tables import with_tables
+from tracefold.session import cut_lineage
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -411,7 +413,8 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def state_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.project(operations(spark, sf_dir), ["replay_id"], ["start", "event_id", "part"], ["event_id", "entity", "field", "op", "value"])
+    made = state.project(operations(spark, sf_dir), ["replay_id"], ["start", "event_id", "part"], ["event_id", "entity", "field", "op", "value"])
+    return made.select("replay_id", "event_id", "seq", "entity", "field", "op", "before", "after", "status")
 
 
 @query(
@@ -426,3 +429,170 @@ SELECT replay_id, entity, field, CASE any_value(kind) WHEN 'STATUS' THEN '"' ||
 )
 def state_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest(state_projection(spark, sf_dir), ["replay_id"])
+
+
+# --- state of a whole match: entities, fields, deltas, snapshots -----------------
+
+_WHERE = ["replay_id"]
+
+
+def _place():
+    return F.floor(F.col("start") / 600)
+
+
+def _mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event once for each name that it mentions (once without one), and whether it states what it must."""
+    f = F.col("fields")
+    rows = narration(spark, sf_dir)
+    lacks = F.lit(False)
+    for kind, names in REQUIRED.items():
+        lacks = lacks | ((F.col("kind") == kind) & F.exists(F.array(*[F.lit(n) for n in names]), lambda n: f[n].isNull()))
+    lacks = lacks | ((F.col("kind") == "SWITCH") & (F.size("targets") == 0)) | ((F.col("kind") == "STAT_CHANGE") & (F.size("targets") == 0) & f["target"].isNull())
+    one = F.when(F.col("kind").isin("TRANSFORMATION", "ABILITY", "ITEM", "MOVE"), f["actor"]).when(F.col("kind").isin("FAINT", "STATUS", "VOLATILE_STATUS", "MOVE_RESULT", "DAMAGE_RESULT", "STAT_CHANGE"), f["target"])
+    named = F.when(F.col("kind").isin("SWITCH", "STAT_CHANGE") & (F.size("targets") > 0), F.col("targets")).otherwise(F.array(one))
+    rows = rows.withColumn("lacks", lacks).select("replay_id", "event_id", "start", "kind", "fields", "confidence", "lacks", F.posexplode(F.when(F.col("lacks"), F.array(F.lit(None).cast("string"))).otherwise(named)).alias("place", "name"))
+    return rows.withColumn("said_side", F.when(f["side"].isin("player", "opponent"), f["side"]))
+
+
+_AT = ["start", "event_id", "place"]
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations with their entity: ``entity, field, op, value, weight``, in order of ``_AT`` and ``part``."""
+    f, kind, who = F.col("fields"), F.col("kind"), F.col("name")
+    rows = state.resolve_mentions(_mentioned(spark, sf_dir), _WHERE, "name", "said_side", _AT)
+    op = lambda entity, field, how, value: F.struct(entity.alias("entity"), field.alias("field"), F.lit(how).alias("op"), value.cast("string").alias("value"))
+    lit, none = F.lit, F.lit(None).cast("string")
+    shift = F.when(f["direction"] == "lower", -f["magnitude"].cast("int")).otherwise(f["magnitude"].cast("int"))
+    names = F.create_map(*[lit(x) for kv in STATS.items() for x in kv])
+    stats = F.transform(F.filter(tx.stats(f["stat"]), lambda x: names[x].isNotNull()), lambda x: op(who, F.concat(lit("stat_stages."), names[x]), "shift", shift))
+    unknown_stat = F.exists(tx.stats(f["stat"]), lambda x: names[x].isNull())
+    unresolved = F.array(op(none, none, "unresolved", none))
+    field_of = lambda prefix, value: F.concat(lit(prefix), value)
+    made = (
+        F.when(F.col("lacks") | ((kind == "STAT_CHANGE") & unknown_stat), unresolved)
+        .when(F.col("resolution") == "conflict", F.array(op(who, lit("side"), "side", F.col("said_side"))))
+        .when(kind == "SWITCH", F.array(op(who, lit("active"), "replace", lit("true"))))
+        .when(kind == "FAINT", F.array(op(who, lit("fainted"), "set", lit("true")), op(who, lit("active"), "replace", lit("false"))))
+        .when(kind == "STATUS", F.array(op(who, lit("status"), "set", f["status"])))
+        .when(kind == "VOLATILE_STATUS", F.array(op(who, field_of("volatile_statuses.", f["effect"]), "count", F.concat(F.when(f["action"] == "end", "false").otherwise("true"), lit("#"), F.coalesce(f["counter"], lit(""))))))
+        .when(kind == "STAT_CHANGE", stats)
+        .when((kind == "WEATHER") & (f["action"] == "start"), F.array(op(lit("field"), lit("weather"), "set", f["weather"])))
+        .when(kind == "WEATHER", F.array(op(lit("field"), lit("weather"), "clear", lit("known"))))
+        .when(kind == "SIDE_CONDITION", F.array(op(f["side"], field_of("side_conditions.", f["effect"]), "replace", F.when(f["action"] == "start", "true").otherwise("false"))))
+        .when(kind == "FIELD_EFFECT", F.array(op(lit("field"), field_of("field_effects.", f["effect"]), "count", F.concat(lit("true#"), F.coalesce(f["counter"], lit(""))))))
+        .when(kind == "TRANSFORMATION", F.array(op(who, lit("transformation"), "phase", F.when(f["action"] == "activate", F.concat_ws("|", lit("activated"), f["item"], f["device"])).otherwise(F.concat_ws("|", lit("completed"), f["form"])))))
+        .when(kind == "ABILITY", F.array(op(who, lit("known_ability"), "add", f["ability"])))
+        .when(kind == "ITEM", F.array(op(who, lit("known_item"), "add", f["item"])))
+        .when((kind == "BATTLE_RESULT") & (f["result"] == "forfeit"), F.array(op(lit("battle"), lit("termination_reason"), "once", lit("forfeit"))))
+        .when((kind == "BATTLE_RESULT") & f["loser"].isNotNull(), F.array(op(lit("battle"), lit("result"), "once", f["result"]), op(lit("battle"), lit("loser"), "once", f["loser"])))
+        .when(kind == "BATTLE_RESULT", F.array(op(lit("battle"), lit("result"), "once", f["result"])))
+    )
+    is_new = F.col("resolution").isin("registered", "adopted")
+    register = F.when(is_new & ~F.col("lacks"), F.array(op(who, lit("side"), "replace", F.coalesce("said_side", lit("unknown"))))).otherwise(F.array().cast("array<struct<entity:string,field:string,op:string,value:string>>"))
+    rows = rows.select("replay_id", "event_id", "start", "place", "confidence", "resolution", F.posexplode(F.concat(register, F.coalesce(made, F.array().cast("array<struct<entity:string,field:string,op:string,value:string>>")))).alias("part", "o"))
+    factor = F.when(F.col("o.op") == "unresolved", FACTORS["unresolved"]).when((F.col("o.field") == "side") & (F.col("resolution") == "adopted"), FACTORS["adopted"]).when((F.col("o.field") == "side") & (F.col("o.value") == "unknown"), FACTORS["no_side"]).otherwise(FACTORS["stated"])
+    return rows.select("replay_id", "event_id", "start", "place", "part", "o.*", F.bround(F.col("confidence") * factor, 6).alias("weight"))
+
+
+def state_changes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``replay_id, entity, field, event_id, seq, op, before, after, status, start, weight``."""
+    asked = cut_lineage(state.sequenced(_requests(spark, sf_dir), _WHERE, [*_AT, "part"], _place(), "at"))
+    clash = F.col("op") == "side"
+    made = state.project(asked.where(~clash), _WHERE, ["start", "event_id", "place", "part"], ["event_id", "entity", "field", "op", "value"])
+    # numbers of all requests, clashes of sides too
+    numbered = state.sequenced(asked.where(~clash).drop("seq"), _WHERE, ["start", "event_id", "place", "part"], _place(), "seq").select("replay_id", "seq", "at", "start", "weight")
+    folded = made.join(numbered, ["replay_id", "seq"]).drop("seq").withColumnRenamed("at", "seq")
+    sides = asked.where(clash).select("replay_id", "entity", "field", "event_id", F.col("at").alias("seq"), "op", F.lit(None).cast("string").alias("before"), F.col("value").alias("after"), F.lit("conflict").alias("status"), "start", "weight")
+    return folded.unionByName(sides)
+
+
+_MENTION_SQL = _EVENTS + """, w AS (SELECT e AS replay_id, id AS event_id, a, c, kind, targets, COLUMNS('^(actor|target|side|move|ability|item|status|stat|direction|magnitude|weather|effect|counter|form|device|result|loser|action)$') FROM e0),
+q AS (SELECT *, CASE kind WHEN 'SWITCH' THEN len(targets) = 0 WHEN 'FAINT' THEN target IS NULL WHEN 'STATUS' THEN target IS NULL OR status IS NULL WHEN 'VOLATILE_STATUS' THEN target IS NULL OR effect IS NULL
+  WHEN 'STAT_CHANGE' THEN len(targets) = 0 AND target IS NULL WHEN 'TRANSFORMATION' THEN actor IS NULL WHEN 'ABILITY' THEN actor IS NULL WHEN 'ITEM' THEN actor IS NULL WHEN 'MOVE' THEN actor IS NULL
+  WHEN 'DAMAGE_RESULT' THEN target IS NULL ELSE false END AS lacks FROM w),
+r AS (SELECT *, CASE WHEN lacks THEN [NULL] WHEN kind IN ('SWITCH', 'STAT_CHANGE') AND len(targets) > 0 THEN targets WHEN kind IN ('TRANSFORMATION', 'ABILITY', 'ITEM', 'MOVE') THEN [actor]
+  WHEN kind IN ('FAINT', 'STATUS', 'VOLATILE_STATUS', 'MOVE_RESULT', 'DAMAGE_RESULT', 'STAT_CHANGE') THEN [target] ELSE [NULL] END AS names FROM q),
+n AS (SELECT * EXCLUDE (names), unnest(names) AS name, generate_subscripts(names, 1) AS place FROM r),
+s AS (SELECT *, count(*) OVER k AS nth, first_value(side IGNORE NULLS) OVER k AS owner, count(side) OVER k AS sided FROM n WINDOW k AS (PARTITION BY replay_id, name ORDER BY a, event_id, place ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, CASE WHEN name IS NULL THEN 'missing' WHEN side <> owner THEN 'conflict' WHEN nth = 1 THEN 'registered' WHEN sided = 1 AND side IS NOT NULL THEN 'adopted' ELSE 'known' END AS resolution FROM s)"""
+
+
+@query(_MENTION_SQL + " SELECT replay_id, event_id, place - 1 AS place, kind, name, CASE WHEN resolution NOT IN ('conflict', 'missing') THEN coalesce(owner, 'unknown') || ':' || name END AS entity_id, resolution, lacks FROM m")
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who each event speaks of: names become entities with the first side that was stated of them."""
+    rows = state.resolve_mentions(_mentioned(spark, sf_dir), _WHERE, "name", "said_side", _AT)
+    return rows.select("replay_id", "event_id", F.col("place").cast("long").alias("place"), "kind", "name", "entity_id", "resolution", "lacks")
+
+
+@query()
+def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of every field of a match, with its images and status; tested against one pass and by cases."""
+    return state_changes_of(spark, sf_dir).select("replay_id", "seq", "event_id", "entity", "field", "op", "before", "after", "status")
+
+
+@query(
+    _MENTION_SQL
+    + """, x AS (SELECT *, string_split(stat, '、') AS stats FROM m WHERE kind = 'STAT_CHANGE' AND NOT lacks AND resolution <> 'conflict'),
+y AS (SELECT replay_id, name, a, unnest(stats) AS stat, CASE direction WHEN 'lower' THEN -CAST(magnitude AS INT) ELSE CAST(magnitude AS INT) END AS d, len(list_filter(stats, lambda z: z NOT IN ('攻擊', '防禦', '特攻', '特防', '速度', '命中', '閃避'))) AS odd FROM x)
+SELECT replay_id, name AS entity, stat, CAST(sum(d) AS BIGINT) AS net, CAST(least(6, greatest(-6, sum(d))) AS BIGINT) AS clamped, count(*) AS n FROM y WHERE odd = 0 GROUP BY ALL"""
+)
+def stat_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net changes of each stat of an entity at the end, as they are and inside the bounds of a stage."""
+    rows = state_changes_of(spark, sf_dir).where("field LIKE 'stat_stages.%' AND status IN ('applied', 'no_op')")
+    last = rows.groupBy("replay_id", "entity", "field").agg(F.max_by("after", "seq").cast("long").alias("net"), F.count(F.lit(1)).alias("n"))
+    back = F.create_map(*[F.lit(x) for k, v in STATS.items() for x in (f"stat_stages.{v}", k)])
+    return last.select("replay_id", "entity", back[F.col("field")].alias("stat"), "net", F.greatest(F.lit(STAGE_BOUNDS[0]), F.least(F.lit(STAGE_BOUNDS[1]), "net")).cast("long").alias("clamped"), "n")
+
+
+def _active_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = state.resolve_mentions(_mentioned(spark, sf_dir), _WHERE, "name", "said_side", _AT).where("NOT lacks AND resolution <> 'conflict' AND name IS NOT NULL")
+    rows = cut_lineage(state.sequenced(rows, _WHERE, _AT, _place()).select("replay_id", "event_id", "seq", "name", "kind", "entity_id", "resolution"))
+    gone = rows.where("kind = 'FAINT'").groupBy("replay_id", "name").agg(F.min("seq").alias("_gone"))
+    rows = rows.join(gone, ["replay_id", "name"], "left").withColumn("fainted", F.coalesce(F.col("seq") > F.col("_gone"), F.lit(False)))
+    # an entity whose side becomes known brings along whether it is active
+    last = rows.where("kind IN ('SWITCH', 'FAINT')").select("replay_id", "name", F.col("seq").alias("_s"), (F.col("kind") == "SWITCH").alias("_in"))
+    adopted = rows.where("resolution = 'adopted'").select("replay_id", "event_id", "name", "seq", "entity_id").join(last, ["replay_id", "name"]).where("_s < seq")
+    adopted = adopted.groupBy("replay_id", "event_id", "name", "seq", "entity_id").agg(F.max_by("_in", "_s").alias("_in")).where("_in")
+    pick = ["replay_id", F.split("entity_id", ":")[0].alias("side"), "event_id", "seq", "name"]
+    moves = rows.where("kind IN ('SWITCH', 'FAINT')").select(*pick, F.when(F.col("kind") == "SWITCH", "in").otherwise("out").alias("what"), "fainted")
+    return moves.unionByName(adopted.select(*pick, F.lit("adopt").alias("what"), F.lit(False).alias("fainted"))).where("side <> 'unknown'")
+
+
+@query()
+def active_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is active on each side after each change: two at most, and none that fainted; tested by cases."""
+    return state.active_sets(_active_entries(spark, sf_dir), ["replay_id", "side"], ["event_id", "seq", "name", "what", "fainted"])
+
+
+@query()
+def state_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One delta for each event: what it changed, what it could not, and how sure that is."""
+    events = narration(spark, sf_dir).select("replay_id", "event_id", "kind", "confidence")
+    made = state.deltas(state_changes_of(spark, sf_dir), events, _WHERE, "event_id", "confidence")
+    return made
+
+
+@query()
+def state_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after each event and at the start: cells known, entities, mean confidence and completeness."""
+    changes = cut_lineage(state_changes_of(spark, sf_dir)).where("entity IS NOT NULL")
+    inside = F.col("status").isin("applied", "no_op", "conflict")
+    # a cell counts from the change that makes it known to the one that does not leave it so
+    known = F.when(F.col("field") == "side", F.col("after") != '"unknown"').when(F.col("field").startswith("stat_stages."), F.lit(False)).otherwise(F.col("status").isin("applied", "no_op") | F.col("op").isin("once", "phase"))
+    cells = changes.where(inside & (F.col("op") != "side")).withColumn("known", known.cast("int"))
+    before = lagged(cells, ["replay_id", "entity", "field"], ["seq"], F.floor(F.col("seq") / 4096), {"was": F.col("known"), "was_weight": F.col("weight")})
+    weight, was = F.col("known") * F.col("weight"), F.coalesce(F.col("was") * F.col("was_weight"), F.lit(0.0))
+    turned = F.col("known") - F.coalesce("was", F.lit(0))
+    core = F.col("field").isin("side", "active", "fainted", "status") & ~F.col("entity").isin("field", "battle")
+    first = F.col("was").isNull()
+    rows = before.select("replay_id", "event_id", "start", turned.alias("d_known"), (weight - was).alias("d_weight"), F.when(core, turned).otherwise(0).alias("d_core"), F.when(core & (F.col("field") == "side") & first, 1).otherwise(0).alias("d_entities"),
+        F.when((F.col("entity") == "battle") & (F.col("field") == "result"), turned).otherwise(0).alias("d_result"), F.when(F.col("field") == "weather", turned).otherwise(0).alias("d_weather"),
+        *[F.when((F.col("entity") == s) & F.col("field").startswith("side_conditions.") & first, 1).otherwise(0).alias(f"d_{s}") for s in ("player", "opponent")])
+    names = ["d_known", "d_weight", "d_core", "d_entities", "d_result", "d_weather", "d_player", "d_opponent"]
+    quiet = narration(spark, sf_dir).select("replay_id", "event_id", "start", *[F.lit(0.0 if n == "d_weight" else 0).alias(n) for n in names])
+    made = state.snapshots(rows.unionByName(quiet), _WHERE, ["start", "event_id"], F.floor(F.col("start") / 600), {n[2:]: F.col(n) for n in names})
+    has = lambda c: (F.col(c) > 0).cast("double")
+    parts = {"result": has("result"), "player_conditions": has("player"), "opponent_conditions": has("opponent"), "weather": has("weather"), "core": F.coalesce(F.col("core") / F.nullif(4 * F.col("entities"), F.lit(0)), F.lit(0.0))}
+    complete = sum((COMPLETENESS[k] * v for k, v in parts.items()), F.lit(0.0))
+    return made.select("replay_id", "seq", "event_id", F.col("known").alias("n_known"), F.col("entities").alias("n_entities"), F.bround(F.coalesce(F.col("weight") / F.nullif(F.col("known"), F.lit(0)), F.lit(0.0)), 6).alias("confidence"), F.bround(complete, 6).alias("completeness"))

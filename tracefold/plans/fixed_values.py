@@ -132,3 +132,26 @@ FACT_TYPES = {
 
 # Quality weights of a picture's preparation steps, in order.
 VARIANT_WEIGHTS = (1.0, 0.95, 0.85, 0.8)
+
+# Stats by their written names, bounds of a stage, and weights of what makes a state complete.
+STATS = {"攻擊": "attack", "防禦": "defense", "特攻": "special_attack", "特防": "special_defense", "速度": "speed", "命中": "accuracy", "閃避": "evasion"}
+STAGE_BOUNDS = (-6, 6)
+COMPLETENESS = {"result": 0.10, "player_conditions": 0.08, "opponent_conditions": 0.08, "weather": 0.08, "core": 0.16}
+# What an event must state before it changes anything, and factors of its confidence.
+REQUIRED = {
+    "FAINT": ("target",),
+    "STATUS": ("status", "target"),
+    "VOLATILE_STATUS": ("effect", "target"),
+    "STAT_CHANGE": ("stat", "direction", "magnitude"),
+    "WEATHER": ("weather",),
+    "SIDE_CONDITION": ("effect", "side"),
+    "FIELD_EFFECT": ("effect",),
+    "TRANSFORMATION": ("actor",),
+    "ABILITY": ("actor", "ability"),
+    "ITEM": ("actor", "item"),
+    "BATTLE_RESULT": ("result",),
+    "MOVE": ("actor", "move"),
+    "MOVE_RESULT": ("result",),
+    "DAMAGE_RESULT": ("target",),
+}
+FACTORS = {"stated": 1.0, "adopted": 0.92, "no_side": 0.86, "unresolved": 0.65}
