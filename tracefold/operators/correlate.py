@@ -52,15 +52,17 @@ def numbered(events: DataFrame, entity: str, start: str, end: str, event_id: str
     return rows.withColumn("is_bar", is_bar)
 
 
-def proposals(events: DataFrame, rules: list[tuple], entity: str, start: str, end: str, event_id: str, kind: str, fields: str, confidence: str, barriers: tuple[str, ...], look_back: float, least_gap: float, targets: str | None = None) -> DataFrame:
+def proposals(events: DataFrame, rules: list[tuple], entity: str, start: str, end: str, event_id: str, kind: str, fields: str, confidence: str, barriers: tuple[str, ...], look_back: float, least_gap: float, targets: str | None = None, written: bool = False) -> DataFrame:
     """``entity, source, target, rule, rule_order, relation, mode, confidence, gap``: every rule that holds for a pair.
 
-    ``targets`` is an array of names that an event has besides its ``target`` field.
+    ``targets`` is an array of names that an event has besides its ``target``
+    field; ``written``: the events' lineage is cut already.
     """
     spark = events.sparkSession
     # both sides of the join and the numbering read the events, which are costly to make again
     names = F.col(targets) if targets else F.array().cast("array<string>")
-    events = cut_lineage(events.select(entity, start, end, event_id, kind, fields, confidence, names.alias("_names")))
+    events = events.select(entity, start, end, event_id, kind, fields, confidence, names.alias("_names"))
+    events = events if written else cut_lineage(events)
     seq = numbered(events, entity, start, end, event_id, kind, barriers)
     pick = [F.col(entity).alias("_e"), F.col(event_id).alias("id"), F.col(kind).alias("kind"), F.col(start).alias("a"), F.col(end).alias("z"), F.col(fields).alias("f"), F.col(confidence).alias("c"), F.col("_names").alias("n"), "seq", "bars", "is_bar"]
     rows = seq.select(*pick)
@@ -93,9 +95,10 @@ def best_parent(made: DataFrame, link_from: float) -> DataFrame:
 def roots(links: DataFrame, rounds: int = 30) -> DataFrame:
     """``node, root`` of a forest given as ``child, parent``: every node jumps to its parent's parent until nothing moves."""
     links = cut_lineage(links)
+    if links.isEmpty():
+        return links.select(F.col("child").alias("node"), F.col("parent").alias("root"))
     nodes = links.select(F.col("child").alias("node")).unionByName(links.select(F.col("parent").alias("node"))).distinct()
     at = nodes.join(links.select(F.col("child").alias("node"), "parent"), "node", "left").select("node", F.coalesce("parent", "node").alias("root"))
-    at = cut_lineage(at)
     for _ in range(rounds):
         up = at.select(F.col("node").alias("root"), F.col("root").alias("_up"))
         nxt = cut_lineage(at.join(up, "root").select("node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")))

@@ -213,8 +213,10 @@ up AS (SELECT child AS node, parent AS top FROM links UNION ALL SELECT up.node,
 found AS (SELECT node, top AS root FROM up WHERE top NOT IN (SELECT child FROM links))"""
 
 
-def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlate.proposals(narration(spark, sf_dir), RELATIONS, "replay_id", "start", "end", "event_id", "kind", "fields", "confidence", BARRIERS, LOOK_BACK, LEAST_GAP, "targets")
+def _proposals(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events``: the narration with its lineage cut, where the caller has it."""
+    rows = narration(spark, sf_dir) if events is None else events
+    return correlate.proposals(rows, RELATIONS, "replay_id", "start", "end", "event_id", "kind", "fields", "confidence", BARRIERS, LOOK_BACK, LEAST_GAP, "targets", events is not None)
 
 
 @query(_EVENTS + f"SELECT e AS replay_id, id AS event_id, rule, kind, {', '.join(SINGLES)}, array_to_string(targets, '|') AS targets, round_even(c, 6) AS confidence FROM e0")
@@ -250,8 +252,8 @@ SELECT replay_id, g.root, n_events, round_even(start_time, 6) AS start_time, rou
 CASE open WHEN 1 THEN 'needs_review' WHEN 0 THEN 'linked' ELSE 'alone' END AS status FROM g LEFT JOIN z ON g.root = z.root"""
 )
 def group_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = narration(spark, sf_dir)
-    parents = correlate.best_parent(_proposals(spark, sf_dir), LINK_FROM)
+    events = cut_lineage(narration(spark, sf_dir))
+    parents = correlate.best_parent(_proposals(spark, sf_dir, events), LINK_FROM)
     out = correlate.grouped(events, parents, "replay_id", "start", "end", "event_id", "kind", "confidence")
     return out.select("replay_id", "root", "n_events", F.bround("start", 6).alias("start_time"), F.bround("end", 6).alias("end_time"), "confidence", F.array_join("kinds", ">").alias("kinds"), "status")
 
@@ -279,8 +281,8 @@ SELECT replay_id, root, n_events, review_status, CASE WHEN review_status = 'unli
 )
 def group_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each group with its review status and type."""
-    events = narration(spark, sf_dir)
-    parents = correlate.best_parent(_proposals(spark, sf_dir), LINK_FROM)
+    events = cut_lineage(narration(spark, sf_dir))
+    parents = correlate.best_parent(_proposals(spark, sf_dir, events), LINK_FROM)
     out = correlate.grouped(events, parents, "replay_id", "start", "end", "event_id", "kind", "confidence", stands_alone(F.col("kind"), F.col("fields")))
     status = F.when(F.col("status") == "needs_review", "needs_review").when((F.col("status") == "linked") | F.col("stands"), "auto_accepted").otherwise("unlinked")
     batch = (F.size("rules") > 0) & F.forall("rules", lambda r: r.isin(*BATCH_RULES))
@@ -451,7 +453,8 @@ def _mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.when(F.col("kind").isin("TRANSFORMATION", "ABILITY", "ITEM", "MOVE"), f["actor"]).when(F.col("kind").isin("FAINT", "STATUS", "VOLATILE_STATUS", "MOVE_RESULT", "DAMAGE_RESULT", "STAT_CHANGE"), f["target"])
     named = F.when(F.col("kind").isin("SWITCH", "STAT_CHANGE") & (F.size("targets") > 0), F.col("targets")).otherwise(F.array(one))
     rows = rows.withColumn("lacks", lacks).select("replay_id", "event_id", "start", "kind", "fields", "confidence", "lacks", F.posexplode(F.when(F.col("lacks"), F.array(F.lit(None).cast("string"))).otherwise(named)).alias("place", "name"))
-    return rows.withColumn("said_side", F.when(f["side"].isin("player", "opponent"), f["side"]))
+    # read several times by what follows
+    return cut_lineage(rows.withColumn("said_side", F.when(f["side"].isin("player", "opponent"), f["side"])))
 
 
 _AT = ["start", "event_id", "place"]
