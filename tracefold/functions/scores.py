@@ -86,3 +86,65 @@ def product(values: Column) -> Column:
 def has_pairs(have: Column, wanted: Column) -> Column:
     """Whether map ``have`` holds every pair of map ``wanted``."""
     return F.forall(F.map_entries(wanted), lambda e: have[e["key"]].eqNullSafe(e["value"]))
+
+
+# Weights of the parts of an appearance's similarity.
+APPEARANCE = {"near": 0.50, "correlation": 0.25, "edges": 0.15, "histogram": 0.10}
+
+
+def appearance(a: Column, b: Column, edges_a: Column, edges_b: Column, histogram_a: Column, histogram_b: Column, scale: float) -> Column:
+    """Similarity of two pictures as arrays: mean differences of values and edges over ``scale``, correlation and histograms."""
+    flat = F.coalesce(clamp(correlation(a, b), -1, 1), F.lit(0.0))
+    parts = {"near": 1 - array_mae(a, b) / scale, "correlation": (flat + 1) / 2, "edges": 1 - array_mae(edges_a, edges_b) / scale, "histogram": histogram_intersection(histogram_a, histogram_b)}
+    return clamp(weighted([(APPEARANCE[k], v) for k, v in parts.items()]), 0, 1)
+
+
+def steps(values: Column) -> Column:
+    """Absolute differences of neighbours: the edges of a one-dimensional picture."""
+    return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda x, y: F.abs(x - y))
+
+
+def histogram(values: Column, low: float, high: float, bins: int) -> Column:
+    """Shares of the values in equal bins; what lies outside counts in the first or last."""
+    at = lambda v: clamp(F.floor((v - low) / (high - low) * bins), 0, bins - 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.size(F.filter(values, lambda v: at(v) == i)) / F.size(values))
+
+
+def slots(x: Column, y: Column, width: Column, height: Column, count: Column, down: Column, top: Column, bottom: Column) -> Column:
+    """A box cut into ``count`` slots along one side, its margins (shares of that side) left out: ``no, x, y, width, height``."""
+    side = F.when(down, height).otherwise(width)
+    lead, trail = F.bround(side * top).cast("int"), F.bround(side * bottom).cast("int")
+    edge = lambda i: (lead + F.bround(i * (side - lead - trail) / count)).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), count - 1),
+        lambda i: F.struct(
+            (i + 1).alias("no"),
+            F.when(down, x).otherwise(x + edge(i)).alias("x"),
+            F.when(down, y + edge(i)).otherwise(y).alias("y"),
+            F.when(down, width).otherwise(edge(i + 1) - edge(i)).alias("width"),
+            F.when(down, edge(i + 1) - edge(i)).otherwise(height).alias("height"),
+        ),
+    )
+
+
+def extended_up(top: Column, height: Column, share: float = 0.75) -> Column:
+    """A box's top moved up by a share of its height, not above the frame."""
+    return F.greatest(F.lit(0), F.bround(top - height * share).cast("int"))
+
+
+def picture_quality(proposal: Column, structure: Column, is_text: Column) -> Column:
+    """How good a frame shows a candidate: its proposal and its structure, weighted by kind."""
+    return F.bround(F.when(is_text, 0.65 * proposal + 0.35 * structure).otherwise(0.7 * proposal + 0.3 * structure), 6)
+
+
+def brighter_slot(left: Column, right: Column) -> Column:
+    """``slot, confidence`` of the brighter of two, unknown where they differ by too little."""
+    margin = F.abs(left - right)
+    known = margin >= 0.025
+    slot = F.when(known & (left > right), "left").when(known, "right").otherwise("unknown")
+    return F.struct(slot.alias("slot"), F.bround(F.coalesce(F.when(known, F.least(F.lit(1.0), margin / 0.12)).otherwise(margin / 0.025), F.lit(0.0)), 6).alias("confidence"))
+
+
+def multiplier_label(x: Column) -> Column:
+    """What a multiplier comes to in words."""
+    return F.when(x == 0, "immune").when(x > 1, "super_effective").when(x < 1, "not_very_effective").when(x == 1, "neutral")

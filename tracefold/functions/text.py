@@ -59,6 +59,55 @@ def ratio(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+# Fixed value: the least matching-blocks ratio at which a word stands for a listed name.
+LEAST_RATIO = 0.66
+
+
+def best_name(word: str, names: list[str], places: dict[str, list[int]]) -> tuple[str | None, float]:
+    """The listed name most like ``word`` by matching blocks, and the ratio; ``places``: names by character.
+
+    Only names with enough of the word's characters can reach the ratio, so few are compared.
+    """
+    shared: dict[int, int] = {}
+    for c in set(word):
+        n = word.count(c)
+        for i in places.get(c, ()):
+            shared[i] = shared.get(i, 0) + min(n, names[i].count(c))
+    best: tuple[float, str] | None = None
+    for i, n in shared.items():
+        name = names[i]
+        if 2 * n / (len(word) + len(name)) >= max(LEAST_RATIO, best[0] if best else 0.0) - 1e-12:
+            score = difflib.SequenceMatcher(None, word, name).ratio()
+            if score >= LEAST_RATIO and (best is None or (score, name) > best):
+                best = (score, name)
+    return (best[1], best[0]) if best else (None, 0.0)
+
+
+def lexicon_match(word: Column, names: list[str]) -> Column:
+    """``name, score, method`` for a word without blanks: exact, fuzzy, unmatched or empty; ties to the greater name."""
+    exact = set(names)
+    places: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        for c in set(name):
+            places.setdefault(c, []).append(i)
+
+    @F.pandas_udf("name string, score double, method string")
+    def run(words: pd.Series) -> pd.DataFrame:
+        out = []
+        for w in words:
+            w = "".join((w or "").split())
+            if not w:
+                out.append((None, 0.0, "empty"))
+            elif w in exact:
+                out.append((w, 1.0, "exact"))
+            else:
+                name, score = best_name(w, names, places)
+                out.append((name, round(score, 6), "fuzzy" if name else "unmatched"))
+        return pd.DataFrame(out, columns=["name", "score", "method"])
+
+    return run(word)
+
+
 def narrow(col: Column) -> Column:
     """Wide punctuation and digits to their ASCII forms."""
     return F.translate(col, WIDE, NARROW)

@@ -22,28 +22,47 @@ def class_templates(df: DataFrame, label: str, vector: str) -> DataFrame:
 def best_template(df: DataFrame, key: str, vector: str, templates: DataFrame) -> DataFrame:
     """Each row with the template most like it by cosine: ``key, label, score``; ties to the smaller label, null for a zero vector.
 
-    Templates are a checked small set; each batch of rows meets them as one matrix product.
+    Up to ``MOST_TEMPLATES`` templates, counted, each batch of rows meets them as one matrix product; beyond, templates go
+    through that product in blocks of so many, by a hash of their label, and the best of each block is kept.
     """
-    rows = sorted((r.label, list(r.template)) for r in templates.limit(MOST_TEMPLATES + 1).collect())
-    if len(rows) > MOST_TEMPLATES:
-        raise ValueError("too many templates to compare with each row")
-    labels = [r[0] for r in rows]
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).alias("_v"))
+    count = templates.count()
+    blocks = max(1, -(-count // MOST_TEMPLATES))
+    found = None
+    for b in range(blocks):
+        block = templates if blocks == 1 else templates.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == b)
+        part = _best_of(rows, block)
+        found = part if found is None else found.unionByName(part)
+    if found is None or blocks == 1:
+        best = found
+    else:
+        # the greatest score, then the smaller label
+        best = found.groupBy("_k").agg(F.min(F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("s"), F.col("label"), F.col("score"))).alias("_b")).select("_k", "_b.label", "_b.score")
+    return best.select(F.col("_k").alias(key), "label", "score")
+
+
+def _best_of(rows: DataFrame, templates: DataFrame) -> DataFrame:
     kind = templates.schema["label"].dataType.simpleString()
+    stated = sorted((r.label, list(r.template)) for r in templates.collect())
+    shared = rows.sparkSession.sparkContext.broadcast(stated)
 
     @F.pandas_udf(f"label {kind}, score double")
     def best(vectors: pd.Series) -> pd.DataFrame:
-        table = np.array([r[1] for r in rows])
-        table = table / np.linalg.norm(table, axis=1, keepdims=True)
-        got = np.stack([np.asarray(v, float) for v in vectors])
+        labels = [r[0] for r in shared.value]
+        if not labels:
+            return pd.DataFrame({"label": [None] * len(vectors), "score": np.full(len(vectors), np.nan)})
+        table = np.array([r[1] for r in shared.value])
         with np.errstate(invalid="ignore", divide="ignore"):
+            table = table / np.linalg.norm(table, axis=1, keepdims=True)
+            got = np.stack([np.asarray(v, float) for v in vectors])
             scores = got @ table.T / np.linalg.norm(got, axis=1, keepdims=True)
         scores = np.where(np.isnan(scores), -np.inf, scores)
         at = scores.argmax(1)
         top = scores[np.arange(len(at)), at]
         return pd.DataFrame({"label": [labels[i] for i in at], "score": np.where(np.isinf(top), np.nan, top)})
 
-    out = df.where(F.col(vector).isNotNull()).select(key, best(F.col(vector)).alias("_b"))
-    return out.select(key, F.when(~F.isnan("_b.score"), F.col("_b.label")).alias("label"), F.nanvl("_b.score", F.lit(None).cast("double")).alias("score"))
+    out = rows.select("_k", best(F.col("_v")).alias("_b"))
+    return out.select("_k", F.when(~F.isnan("_b.score"), F.col("_b.label")).alias("label"), F.nanvl("_b.score", F.lit(None).cast("double")).alias("score"))
 
 
 def interval_frames(intervals: DataFrame, samples: DataFrame, keys: list[str], span: tuple[str, str], interval_id: str, time: str, position: str, score: str, bucket: float = 30.0, kind: str | None = None) -> DataFrame:

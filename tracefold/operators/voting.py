@@ -56,19 +56,36 @@ def cluster_texts(items: list[tuple[str, float]], least: float) -> list[int]:
     return out
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, with one bit for each character of ``a``."""
+    if not a:
+        return len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for c in b:
+        here = places.get(c, 0)
+        stay = here | down
+        carry = (((here & up) + up) ^ up) | here
+        more, less = (down | ~(carry | up)) & full, up & carry
+        distance += bool(more & top) - bool(less & top)
+        more = (more << 1 | 1) & full
+        less = less << 1 & full
+        up, down = (less | ~(stay | more)) & full, more & stay
+    return distance
+
+
 def text_similarity(a: str, b: str) -> float:
     """The Python twin of ``functions.text.similarity``."""
     if not a or not b:
         return 0.0
     if a == b:
         return 1.0
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    distance = edit_distance(a, b)
     bag = 2 * sum(min(a.count(c), b.count(c)) for c in set(a)) / (len(a) + len(b))
-    return 0.72 * (1 - row[-1] / max(len(a), len(b))) + 0.28 * bag
+    return 0.72 * (1 - distance / max(len(a), len(b))) + 0.28 * bag
 
 
 def similar_clusters(votes: DataFrame, keys: list[str], text: str, weight: str, least: float = 0.82) -> DataFrame:

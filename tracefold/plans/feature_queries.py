@@ -45,17 +45,23 @@ def pts_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "replay_id", "left").fillna(0, ["n_repeated", "n_backward"])
 
 
+def _bins(v: str) -> str:
+    return f"list_transform(range(0, 8), lambda i: len(list_filter({v}, lambda z: least(7, greatest(0, CAST(floor((z + 1) / 2 * 8) AS INT))) = i)) / len({v}))"
+
+
 @query(
-    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, a.v AS v, b.v AS w FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
-c AS (SELECT *, list_transform(v, lambda x: x - list_avg(v)) AS cv, list_transform(w, lambda x: x - list_avg(w)) AS cw, 1 - list_avg(list_transform(list_zip(v, w), lambda p: abs(p[1] - p[2]))) AS near FROM p)
-SELECT vec_id, round_even(least(1, greatest(0, 0.5::DOUBLE * near + 0.25::DOUBLE * list_cosine_similarity(cv, cw) + 0.25::DOUBLE * list_cosine_similarity(v, w))), 5) AS similarity FROM c"""
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, a.v AS v, b.v AS w FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+c AS (SELECT *, list_transform(v, lambda x: x - list_avg(v)) AS cv, list_transform(w, lambda x: x - list_avg(w)) AS cw, list_transform(list_zip(v[:-2], v[2:]), lambda p: abs(p[1] - p[2])) AS ev, list_transform(list_zip(w[:-2], w[2:]), lambda p: abs(p[1] - p[2])) AS ew, {_bins('v')} AS hv, {_bins('w')} AS hw FROM p),
+d AS (SELECT *, 1 - list_avg(list_transform(list_zip(v, w), lambda p: abs(p[1] - p[2]))) / 2 AS near, 1 - list_avg(list_transform(list_zip(ev, ew), lambda p: abs(p[1] - p[2]))) / 2 AS edges, list_sum(list_transform(list_zip(hv, hw), lambda p: least(p[1], p[2]))) AS hist FROM c)
+SELECT vec_id, round_even(least(1, greatest(0, 0.50::DOUBLE * near + 0.25::DOUBLE * ((list_cosine_similarity(cv, cw) + 1) / 2) + 0.15::DOUBLE * edges + 0.10::DOUBLE * hist)), 5) AS similarity FROM d"""
 )
 def appearance_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring vectors as pictures of values from -1 to 1."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
-    v, w = F.col("v"), F.col("w")
-    mixed = sc.weighted([(0.5, 1 - sc.array_mae(v, w)), (0.25, sc.correlation(v, w)), (0.25, sc.cosine(v, w))])
-    return pairs.select("vec_id", F.bround(sc.clamp(mixed, 0, 1), 5).alias("similarity"))
+    e = e.withColumns({"ev": sc.steps(F.col("v")), "hv": sc.histogram(F.col("v"), -1.0, 1.0, 8)})
+    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"), F.col("ev").alias("ew"), F.col("hv").alias("hw")), "vec_id")
+    mixed = sc.appearance(F.col("v"), F.col("w"), F.col("ev"), F.col("ew"), F.col("hv"), F.col("hw"), 2.0)
+    return pairs.select("vec_id", F.bround(mixed, 5).alias("similarity"))
 
 
 @query(
