@@ -62,7 +62,7 @@ def _best_of(rows: DataFrame, templates: DataFrame) -> DataFrame:
         return pd.DataFrame({"label": [labels[i] for i in at], "score": np.where(np.isinf(top), np.nan, top)})
 
     out = rows.select("_k", best(F.col("_v")).alias("_b"))
-    return out.select("_k", F.when(~F.isnan("_b.score"), F.col("_b.label")).alias("label"), F.nanvl("_b.score", F.lit(None).cast("double")).alias("score"))
+    return out.select("_k", F.when(F.col("_b.score").isNotNull() & ~F.isnan("_b.score"), F.col("_b.label")).alias("label"), F.nanvl("_b.score", F.lit(None).cast("double")).alias("score"))
 
 
 def interval_frames(intervals: DataFrame, samples: DataFrame, keys: list[str], span: tuple[str, str], interval_id: str, time: str, position: str, score: str, bucket: float = 30.0, kind: str | None = None) -> DataFrame:
