@@ -280,9 +280,10 @@ def change_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_tables("gr", "hp")
-    + """, o AS (SELECT replay_id, timestamp AS t, max(hp) AS hp FROM hp WHERE hp IS NOT NULL AND side = 'player' AND slot = 'left' GROUP BY ALL),
-s AS (SELECT gr.replay_id, timeline_id, start_time, o.hp AS hp FROM gr ASOF LEFT JOIN o ON gr.replay_id = o.replay_id AND gr.start_time >= o.t),
-d AS (SELECT *, lag(hp) OVER (PARTITION BY replay_id ORDER BY start_time, timeline_id) AS was FROM s) SELECT timeline_id, was, hp FROM d WHERE hp IS DISTINCT FROM was"""
+    + """, o AS (SELECT replay_id, side, slot, timestamp AS t, max(hp) AS hp FROM hp WHERE hp IS NOT NULL GROUP BY ALL),
+q AS (SELECT gr.replay_id, timeline_id, start_time, side, slot FROM gr, (VALUES ('player', 'left'), ('player', 'right'), ('opponent', 'left'), ('opponent', 'right')) x(side, slot)),
+s AS (SELECT q.*, o.hp AS hp FROM q ASOF LEFT JOIN o ON q.replay_id = o.replay_id AND q.side = o.side AND q.slot = o.slot AND q.start_time >= o.t),
+d AS (SELECT *, lag(hp) OVER (PARTITION BY replay_id, side, slot ORDER BY start_time, timeline_id) AS was FROM s) SELECT timeline_id, side, slot, was, hp FROM d WHERE hp IS DISTINCT FROM was"""
 )
 def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups at which the last reading of a slot, on either side, differs from that at the group before."""
@@ -295,8 +296,24 @@ def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    with_tables("fr")
-    + ", u AS (SELECT replay_id, sample_index, unnest(visible_rois) AS roi FROM fr WHERE sample_index % 50 = 0 OR ui_state = 'RESULT') SELECT replay_id, sample_index, array_to_string(list_sort(list_distinct(list(roi))), '|') AS rois FROM u GROUP BY ALL"
+    with_tables("fr", "ev", "pl")
+    + """, a AS (SELECT replay_id, event_id, type, start_time, end_time, coalesce(visible_rois, [lower(type)]) AS shown FROM ev),
+r AS (SELECT *, CASE WHEN type = 'TRIGGER_NOTIFICATION' THEN shown || list_transform(list_filter(shown, lambda x: x IN ('player_trigger_notification', 'opponent_trigger_notification')), lambda x: x || '_analysis_context') ELSE shown END AS rois FROM a),
+h AS (SELECT r.replay_id, event_id, rois, sample_index, coalesce(candidate_scores[type], CAST('-inf' AS DOUBLE)) AS x FROM r JOIN fr ON fr.replay_id = r.replay_id AND pts BETWEEN start_time AND end_time),
+g AS (SELECT replay_id, event_id, any_value(rois) AS rois, [min(sample_index), max(sample_index), arg_max(sample_index, struct_pack(x := x, o := -sample_index))] AS places FROM h GROUP BY 1, 2),
+k AS (SELECT replay_id, rois, unnest(places) AS sample_index FROM g),
+f AS (SELECT replay_id, pts, max(sample_index) AS sample_index FROM fr WHERE pts IS NOT NULL GROUP BY ALL),
+b AS (SELECT replay_id, min(t) AS lo, max(t) AS hi FROM pl GROUP BY 1),
+w AS (SELECT replay_id, lo + unnest(range(0, CAST(floor((hi - lo + 1e-9) / 5.0) AS BIGINT) + 1)) * 5.0::DOUBLE AS t, ['battle_text'] AS rois FROM b
+  UNION ALL SELECT replay_id, unnest([start_time, end_time]), rois FROM r WHERE event_id NOT IN (SELECT event_id FROM h)),
+m AS (SELECT w.*, f.pts AS p0, f.sample_index AS s0 FROM w ASOF LEFT JOIN f ON w.replay_id = f.replay_id AND w.t >= f.pts),
+n AS (SELECT m.*, f.pts AS p1, f.sample_index AS s1 FROM m ASOF LEFT JOIN f ON m.replay_id = f.replay_id AND m.t <= f.pts),
+z AS (SELECT replay_id, sample_index, rois FROM k
+  UNION ALL SELECT replay_id, CASE WHEN p1 IS NULL OR t - p0 <= p1 - t THEN s0 ELSE s1 END, rois FROM n
+  UNION ALL SELECT fr.replay_id, fr.sample_index, ['battle_text'] FROM fr JOIN ev ON ev.replay_id = fr.replay_id AND ev.type = 'RESULT' AND abs(fr.pts - ev.start_time) <= 1
+  UNION ALL SELECT replay_id, sample_index, visible_rois FROM fr WHERE regexp_replace(upper(regexp_replace(ui_state, '^[\\s\\-_]+|[\\s\\-_]+$', '', 'g')), '[\\s\\-_]+', '_', 'g') = 'RESULT'),
+u AS (SELECT replay_id, sample_index, unnest(rois) AS roi FROM z WHERE sample_index IS NOT NULL)
+SELECT replay_id, sample_index, array_to_string(list_sort(list_distinct(list(roi))), '|') AS rois FROM u GROUP BY ALL"""
 )
 def evidence_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions to look at, by sample: those of each candidate at its first, best and last sample, narration every
