@@ -1,6 +1,8 @@
 import json
 
 import pytest
+
+from tracefold.sources.sinks import table_digest
 from pyspark.sql import functions as F
 
 from tracefold.operators import quality, review
@@ -108,3 +110,24 @@ def test_a_recogniser_gets_batches(spark):
     jobs = spark.createDataFrame([(1, "a"), (2, None)], "id int, image string")
     out = tables.recognise(jobs, lambda b: b.assign(text=b.image.str.upper(), error=b.image.isna().map({True: "no image", False: None}))[["id", "text", "error"]], "id int, text string, error string")
     assert sorted(tuple(r) for r in out.collect()) == [(1, "A", None), (2, None, "no image")]
+
+
+def test_canonical_json_sorts_at_every_depth(spark):
+    from tracefold.sources.sinks import canonical_json
+
+    a = spark.sql("SELECT named_struct('b', 1, 'a', array(named_struct('y', 2, 'x', CAST(NULL AS INT)))) AS s, map('k', 1, 'c', 2) AS m, CAST(NULL AS STRUCT<q: INT>) AS n")
+    b = spark.sql("SELECT CAST(NULL AS STRUCT<q: INT>) AS n, map('c', 2, 'k', 1) AS m, named_struct('a', array(named_struct('x', CAST(NULL AS INT), 'y', 2)), 'b', 1) AS s")
+    texts = [d.select(canonical_json(d.columns, d.schema).alias("j")).collect()[0].j for d in (a, b)]
+    assert texts[0] == texts[1] == '{"m":{"c":2,"k":1},"n":null,"s":{"a":[{"x":null,"y":2}],"b":1}}'
+    assert table_digest(a) == table_digest(b)
+
+
+def test_index_gates_and_trees(spark):
+    from tracefold.sources.tables import index_gates, tree_files
+
+    rows = [("r", 0, 0.0, 0.1), ("r", 1, 0.1, None), ("r", 2, 0.1, 0.1), ("r", 4, 0.05, 0.1), ("q", 0, 1.0, 0.1)]
+    df = spark.createDataFrame(rows, "replay string, ordinal long, pts double, duration double")
+    got = {(r.replay, r.ordinal, r.gate) for r in index_gates(df, ["replay"], "ordinal", "pts").collect()}
+    assert got == {("r", 2, "not_after"), ("r", 4, "not_after"), ("r", 4, "missing_before")}
+    trees = spark.createDataFrame([('{"tree": [{"path": "a/b.csv", "type": "blob"}, {"path": "a", "type": "tree"}, {"path": "a/b.csv", "type": "blob"}]}',), ("{",), (None,)], "value string")
+    assert [r.path for r in tree_files(trees, "value").collect()] == ["a/b.csv"]

@@ -66,3 +66,19 @@ def test_asof_latest(spark):
     right = spark.createDataFrame([("a", 1.0, 10), ("a", 650.0, 20), ("a", 900.0, 30)], "k string, rt double, v int")
     got = {(r.k, r.t): r.latest.v if r.latest else None for r in temporal.asof_latest(left, right, ["k"], "t", "rt", ["v"]).collect()}
     assert got == {("a", 1.0): 10, ("a", 700.0): 20, ("a", 0.5): None, ("b", 1.0): None}
+
+
+def test_kinds_together_equal_each_alone(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(k, i, i * 0.1, {"a": rng.choice([0.2, 0.9]), "b": rng.choice([None, 0.1, 0.6])} if rng.random() < 0.9 else None) for k in "xy" for i in range(2500) if rng.random() < 0.95]
+    df = spark.createDataFrame(rows, "k string, p int, t double, s map<string,double>")
+    got = {(r.k, r.kind, r.first_pos, r.last_pos, r.n_samples, r.n_hits, round(r.mean_score, 9)) for r in temporal.kind_intervals(df, ["k"], "p", "t", "s", {"a": (0.8, 5), "b": (0.5, 1)}, 2).collect()}
+    want = set()
+    for kind, thr, least in (("a", 0.8, 5), ("b", 0.5, 1)):
+        one = df.select("k", "p", "t", F.col("s")[kind].alias("x"))
+        want |= {(r.k, kind, r.first_pos, r.last_pos, r.n_samples, r.n_hits, round(r.mean_score, 9)) for r in temporal.threshold_intervals(one, ["k"], "p", "t", "x", F.lit(thr), 2, F.lit(least)).collect()}
+    assert got == want and len(got) > 100

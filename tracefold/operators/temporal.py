@@ -45,6 +45,24 @@ def threshold_intervals(samples: DataFrame, keys: list[str], pos: str, time: str
     )
 
 
+def kind_intervals(samples: DataFrame, keys: list[str], pos: str, time: str, scores: str, limits: dict[str, tuple[float, int]], max_gap: int) -> DataFrame:
+    """``threshold_intervals`` for every kind of a map of scores; ``limits``: kind to threshold and least length.
+
+    Only what reaches its threshold becomes a row; a span meets its samples, all kinds still together, in blocks of positions.
+    """
+    table = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(float(t)).alias("thr"), F.lit(n).alias("least"), F.col(scores)[k].alias("score")) for k, (t, n) in limits.items()])
+    hits = samples.where(F.col(scores).isNotNull()).select(*keys, F.col(pos).alias("_pos"), F.explode(F.filter(table, lambda x: x["score"] >= x["thr"])).alias("_x")).select(*keys, "_pos", "_x.kind", "_x.least")
+    hits = islands(hits, [*keys, "kind"], "_pos", max_gap + 1)
+    spans = hits.groupBy(*keys, "kind", "island").agg(F.min("_pos").alias("first_pos"), F.max("_pos").alias("last_pos"), F.count(F.lit(1)).alias("n_hits"), F.max("least").alias("_least"))
+    spans = spans.where("last_pos - first_pos + 1 >= _least").drop("_least", "island")
+    cut = spans.withColumn("_block", F.explode(F.sequence(F.floor(F.col("first_pos") / 1024), F.floor(F.col("last_pos") / 1024))))
+    rows = samples.select(*keys, F.col(pos).alias("_pos"), F.col(time).alias("_time"), F.col(scores).alias("_s"), F.floor(F.col(pos) / 1024).alias("_block")).where("_s IS NOT NULL")
+    inside = rows.join(cut, [*keys, "_block"]).where("_pos BETWEEN first_pos AND last_pos").withColumn("_x", F.col("_s")[F.col("kind")]).where("_x IS NOT NULL")
+    return inside.groupBy(*keys, "kind", "first_pos").agg(
+        F.max("last_pos").alias("last_pos"), F.min("_time").alias("start_time"), F.max("_time").alias("end_time"), F.count(F.lit(1)).alias("n_samples"), F.max("n_hits").alias("n_hits"), F.avg("_x").alias("mean_score")
+    )
+
+
 def sessions(df: DataFrame, keys: list[str], start: str, end: str, tie: str, gap: float) -> DataFrame:
     """Rows with ``session``: it grows when a row starts more than ``gap`` after the end of the row before it."""
     place = F.floor(F.col(start) / BLOCK_SECONDS)

@@ -46,9 +46,8 @@ SELECT p.replay_id, p.kind, CAST(a AS INT) AS first_pos, CAST(b AS INT) AS last_
 FROM p JOIN s ON s.replay_id = p.replay_id AND s.kind = p.kind AND s.pos BETWEEN a AND b GROUP BY p.replay_id, p.kind, a, b"""
 )
 def threshold_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("thr"), F.lit(LEAST_SAMPLES[k]).alias("least"), F.col("candidate_scores")[k].alias("score")) for k, t in STATES.items()])
-    rows = tables.frames(spark, sf_dir).select("replay_id", "sample_index", "pts", F.explode(kinds).alias("x")).select("replay_id", "sample_index", "pts", "x.*")
-    out = temporal.threshold_intervals(rows, ["replay_id", "kind"], "sample_index", "pts", "score", F.col("thr"), 2, F.col("least"))
+    rows = tables.frames(spark, sf_dir).select("replay_id", "sample_index", "pts", "candidate_scores")
+    out = temporal.kind_intervals(rows, ["replay_id"], "sample_index", "pts", "candidate_scores", {k: (t, LEAST_SAMPLES[k]) for k, t in STATES.items()}, 2)
     return out.select("replay_id", "kind", "first_pos", "last_pos", "n_samples", "n_hits", F.bround(F.col("mean_score") * F.col("n_samples"), 4).alias("total_score"))
 
 

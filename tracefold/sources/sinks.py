@@ -7,21 +7,35 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def canonical_json(columns: list[str]) -> Column:
-    """One JSON object, keys sorted at the top level, nulls written."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+def _ordered(value: Column, kind: T.DataType) -> Column:
+    """The value with the fields of its structs, at any depth, in order of name, and maps in order of key."""
+    if isinstance(kind, T.StructType):
+        fields = [_ordered(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _ordered(e["value"], kind.valueType).alias("value")))))
+    return value
+
+
+def canonical_json(columns: list[str], schema: T.StructType | None = None) -> Column:
+    """One JSON object with nulls written and keys sorted; at every depth where the table's ``schema`` is given."""
+    value = lambda c: _ordered(F.col(c), schema[c].dataType).alias(c) if schema else F.col(c)
+    return F.to_json(F.struct(*[value(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
 def manifest(df: DataFrame, key: str) -> DataFrame:
     """``key, digest``: SHA-256 of each row's canonical JSON."""
-    return df.select(key, F.sha2(canonical_json([c for c in df.columns if c != key]), 256).alias("digest"))
+    return df.select(key, F.sha2(canonical_json([c for c in df.columns if c != key], df.schema), 256).alias("digest"))
 
 
 def table_digest(df: DataFrame) -> str:
     """An order-free digest of a whole table: sums of row hashes and the row count."""
-    h = F.xxhash64(canonical_json(df.columns)).cast("decimal(38,0)")
+    h = F.xxhash64(canonical_json(df.columns, df.schema)).cast("decimal(38,0)")
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("s")).collect()[0]
     return f"{row.n}:{row.s}"
 
@@ -49,7 +63,7 @@ class Staged:
         target = check_target(path, self.root)
         staging = f"{target}.staging-{uuid.uuid4().hex}"
         if kind == "jsonl":
-            df.select(canonical_json(df.columns)).write.text(staging)
+            df.select(canonical_json(df.columns, df.schema)).write.text(staging)
         else:
             df.write.format(kind).options(**({"header": True} | options if kind == "csv" else options)).save(staging)
         self.outputs.append((staging, target))

@@ -92,3 +92,19 @@ def catalogue(spark: SparkSession, root: str, pattern: str, names: list[str]) ->
 def recognise(jobs: DataFrame, engine, schema: str) -> DataFrame:
     """Jobs sent in batches to a recognition engine: ``engine(pandas) -> pandas``; errors are the engine's to report per row."""
     return jobs.mapInPandas(lambda batches: (engine(b) for b in batches), schema)
+
+
+def index_gates(df: DataFrame, keys: list[str], ordinal: str, time: str) -> DataFrame:
+    """Violations of an index of frames, ``keys, ordinal, gate``: ordinals must follow each other (``missing_before``) from 0,
+    and times must grow strictly (``not_after``)."""
+    from tracefold.operators.sequence import lagged
+
+    rows = lagged(df.select(*keys, ordinal, time), keys, [ordinal], F.floor(F.col(ordinal) / 4096), {"_o": F.col(ordinal), "_t": F.col(time)})
+    gates = F.array_compact(F.array(F.when(F.col(ordinal) != F.coalesce("_o", F.lit(-1)) + 1, "missing_before"), F.when(F.col("_t").isNotNull() & ~F.coalesce(F.col(time) > F.col("_t"), F.lit(False)), "not_after")))
+    return rows.select(*keys, ordinal, F.explode(gates).alias("gate"))
+
+
+def tree_files(df: DataFrame, text: str) -> DataFrame:
+    """``path`` of every file in tree listings (JSON with ``tree: [{path, type}]``), each once; malformed listings have none."""
+    tree = F.from_json(F.col(text), "tree array<struct<path: string, type: string>>")["tree"]
+    return df.select(F.explode(tree).alias("x")).where("x.type = 'blob'").select("x.path").distinct()
