@@ -322,17 +322,19 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _drain(df: DataFrame) -> DataFrame:
-    """A finite stream written to the shared folder, and read again."""
+    """A finite stream written to the shared folder, and read again; the query's log goes when it has ended."""
     spark = df.sparkSession
     where = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = df.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
     q.awaitTermination()
+    log = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/log")
+    log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(log, True)
     return spark.read.schema(df.schema).parquet(f"{where}/out")
 
 
 @query("SELECT type, count(DISTINCT event_id) AS n FROM event_candidates GROUP BY 1")
 def stream_deliver_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = streams.deliver_once(_stream(spark, sf_dir, "event_candidates").select("event_id", "type", "ingested_at"), "event_id", "ingested_at", "3650 days")
+    rows = streams.deliver_once(_stream(spark, sf_dir, "event_candidates").select("event_id", "type", "ingested_at"), "event_id", "ingested_at", "30 days")
     return _drain(rows.select("type", "event_id")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -348,7 +350,7 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_dead_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dead band as a stream; equal to the batch query (tested)."""
-    rows = streams.deliver_once(_stream(spark, sf_dir, "hp_observations"), "observation_id", "ingested_at", "3650 days")
+    rows = streams.deliver_once(_stream(spark, sf_dir, "hp_observations"), "observation_id", "ingested_at", "30 days")
     hp = F.when(F.col("hp_percent").between(0, 100) & ~F.isnan("hp_percent"), F.col("hp_percent"))
     rows = rows.withColumns({"hp": hp, "exact": F.col("value_type") != "visual_bar_estimate"}).select("replay_id", "side", "slot", "timestamp", "observation_id", "identity_text", "status", "hp", "exact")
     return _drain(streams.stream_dead_band(rows, ["replay_id", "side", "slot"], "timestamp", ["observation_id", "identity_text", "status", "hp", "exact"]))
