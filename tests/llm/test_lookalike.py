@@ -73,3 +73,13 @@ def test_null_empty_and_long_texts(spark):
     df = spark.createDataFrame([(None,), ("",), ("​",), (long,)], "text string")
     got = [r[0] for r in df.select(canonical(df.text, corpus_counts(df, "text"))).collect()]
     assert got[:3] == [None, "", ""] and len(got[3]) == len(long)
+
+
+def test_bigrams_decide_within_a_script():
+    from tracefold.llm.lookalike import Canonical, neighbour_counts
+
+    # both letters are Han or both are kana, so only the letters beside them tell
+    counts = neighbour_counts(["カロ"] * 30 + ["出口"] * 30 + ["エ力"] * 5)
+    form = Canonical(counts)
+    assert form("カ口") == form("力ロ") == "カロ"
+    assert counts["ロ", "カ"] == 30 and counts["ロ", "Kana"] == 30

@@ -7,8 +7,9 @@
 2. Every letter then stands for its class of letters drawn alike in other
    scripts; between two separators these classes form a lattice.
 3. A Viterbi search picks the path with the best script-consistent character
-   n-gram score: the log count of each letter after a neighbour of that script
-   (counted over the whole corpus) plus a bonus where scripts agree.
+   n-gram score: the log counts of each letter after that very letter (bigrams)
+   and after one of that script, both counted over the whole corpus, plus a bonus
+   where scripts agree.
 
 The search sees only the classes, so texts that look the same get the same form,
 and a form's classes are those of its text, so texts that look different stay
@@ -108,8 +109,13 @@ AMBIGUOUS = frozenset(_CLASS_OF.values())
 _PART = re.compile(r"[^\W\d_\-]+|-+", re.UNICODE)
 
 
+def _context(ch: str) -> str:
+    """What of a neighbour is counted beside its script: the letter itself, where it is one of a class or ASCII."""
+    return ch if ord(ch) in _CLASS_OF or ch.isascii() and ch.isalpha() else ""
+
+
 def neighbour_counts(texts: Iterable[str]) -> dict[tuple[str, str], int]:
-    """Counts of (letter of a class, script of the letter before it or, at a start, after it)."""
+    """Counts of each letter of a class after a letter (bigrams) and after a letter of a script; at a start, by the script after it."""
     counts: dict[tuple[str, str], int] = {}
     for text in texts:
         letters = [c for c in fold(text) if not unicodedata.combining(c)]
@@ -117,7 +123,9 @@ def neighbour_counts(texts: Iterable[str]) -> dict[tuple[str, str], int]:
             if ord(c) in _CLASS_OF:
                 script = script_of(letters[i - 1]) if i else ""
                 script = script or (script_of(letters[i + 1]) if i + 1 < len(letters) else "")
-                counts[c, script] = counts.get((c, script), 0) + 1
+                before = _context(letters[i - 1]) if i else ""
+                for key in (script, before) if before else (script,):
+                    counts[c, key] = counts.get((c, key), 0) + 1
     return counts
 
 
@@ -129,19 +137,20 @@ class Canonical:
         self.best = lru_cache(1 << 16)(self._best)
 
     def _best(self, part: str) -> str:
-        # beam of one path per script of the last letter: (score, path)
-        paths: dict[str, tuple[float, str]] = {"": (0.0, "")}
+        # one path for each script and last letter: (score, path)
+        paths: dict[tuple[str, str], tuple[float, str]] = {("", ""): (0.0, "")}
         for c in part:
-            step: dict[str, tuple[float, str]] = {}
+            step: dict[tuple[str, str], tuple[float, str]] = {}
             for alt in _MEMBERS.get(c, (c,)):
-                script = script_of(alt)
-                for before, (score, path) in paths.items():
+                script, context = script_of(alt), _context(alt)
+                for (before, last), (score, path) in paths.items():
                     total = score
                     if c in _MEMBERS:
                         total += self.scores.get((alt, before or script), 0.0)
+                        total += self.scores.get((alt, last), 0.0) if last else 0.0
                     if script and before:
                         total += SAME_SCRIPT if script == before else -SAME_SCRIPT
-                    at = script or before
+                    at = (script or before, context)
                     old = step.get(at)
                     # ties: the alternative listed first
                     if old is None or total > old[0] + 1e-12:
@@ -158,7 +167,7 @@ def corpus_counts(df: DataFrame, text_col: str) -> dict[tuple[str, str], int]:
     """Neighbour counts over all distinct texts of a table.
 
     What reaches the driver is bounded by the alphabet: at most (letters in
-    classes) x (scripts) rows.
+    classes) x (scripts, letters in classes and ASCII letters) rows.
     """
     def count(batches):
         total: dict[tuple[str, str], int] = {}
