@@ -131,7 +131,7 @@ def with_span(segments: DataFrame, samples: DataFrame, keys: list[str], pos: str
     cut = segments.withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))))
     held = cut.join(rows, [*keys, "_b"]).where("_p BETWEEN first AND last")
     out = held.groupBy(*keys, "first", "last").agg(F.max("hits").alias("hits"), F.avg("_x").alias("_c"), F.min("_t").alias("_a"), F.max("_t").alias("_z"))
-    return out.select(*keys, "first", "last", "hits", (F.col("last") - F.col("first") + 1).alias("n_span"), F.bround("_c", 6).alias("confidence"), F.bround(F.greatest(F.lit(period), F.col("_z") - F.col("_a") + period), 6).alias("duration"))
+    return out.select(*keys, "first", "last", "hits", (F.col("last") - F.col("first") + 1).alias("n_span"), F.bround("_c", 9).alias("confidence"), F.bround(F.greatest(F.lit(period), F.col("_z") - F.col("_a") + period), 6).alias("duration"))
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], schema: str, end: Callable[[object], list[tuple]] | None = None) -> DataFrame:

@@ -351,7 +351,7 @@ _TRIGGER = "CASE WHEN x >= 0.72 THEN 'strong' WHEN x >= 0.5 THEN 'weak' WHEN x >
     with_tables("fr")
     + _hysteresis_sql(f"SELECT replay_id, CAST(sample_index AS BIGINT) AS p, {_TRIGGER} AS lv FROM (SELECT *, candidate_scores['TRIGGER_NOTIFICATION'] AS x FROM fr)", 2, 1)
     + """, c AS (SELECT h.*, fr.pts, fr.candidate_scores['TRIGGER_NOTIFICATION'] AS x FROM h JOIN fr ON fr.replay_id = h.replay_id AND fr.sample_index BETWEEN h.first AND h.last)
-SELECT replay_id, first, last, any_value(hits) AS hits, last - first + 1 AS n_span, round_even(avg(x) FILTER (x >= 0.499), 6) AS confidence, round_even(greatest(0.1, max(pts) - min(pts) + 0.1), 6) AS duration FROM c GROUP BY replay_id, first, last"""
+SELECT replay_id, first, last, any_value(hits) AS hits, last - first + 1 AS n_span, round_even(avg(x) FILTER (x >= 0.499), 9) AS confidence, round_even(greatest(0.1, max(pts) - min(pts) + 0.1), 6) AS duration FROM c GROUP BY replay_id, first, last"""
 )
 def trigger_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notices shown: confidence over the samples that show one, length over all of the span."""
