@@ -92,8 +92,9 @@ def linked_rules(facts: DataFrame, links: DataFrame, rules: DataFrame, fact: str
 
 
 def stream_clusters(votes: DataFrame, keys: list[str], order: str, text: str, weight: str, moment: str, least: float = 0.82) -> DataFrame:
-    """Each vote with its ``cluster``: the first whose heaviest text so far is similar enough, in ``order``; only those texts are held."""
-    rows = votes.where(F.length(text) > 0).select(*keys, F.col(order).cast("string").alias("_o"), F.col(text).alias("_t"), F.col(weight).cast("double").alias("_w"), F.col(moment).cast("long").alias("_m"))
+    """Each vote with its ``cluster``: the first whose heaviest text so far is similar enough, in ``order``; only those
+    texts are held.  A null weight is 0, votes without text are left out."""
+    rows = votes.where(F.length(text) > 0).select(*keys, F.col(order).cast("string").alias("_o"), F.col(text).alias("_t"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_w"), F.col(moment).cast("long").alias("_m"))
 
     def step(heads: list, row: tuple) -> list[tuple]:
         o, t, w, m = row

@@ -218,7 +218,7 @@ def _menu_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _moves(spark: SparkSession, sf_dir: str) -> list[str]:
     """The names of moves: a reference list, fixed and checked to be small."""
-    rows = read(spark, sf_dir, "match_reference").where("kind = 'move'").select("zh_tw").distinct().limit(100_001).collect()
+    rows = read(spark, sf_dir, "match_reference").where("kind = 'move' AND zh_tw IS NOT NULL").select("zh_tw").distinct().limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("the list of moves is too long to be held by each task")
     return sorted(r.zh_tw for r in rows)
