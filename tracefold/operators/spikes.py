@@ -186,7 +186,9 @@ def flag_implausible(
     candidates = candidates.where("_frozen OR _swift OR size(_tries) > 0").select(*names, "_ctx", "_id", "_frozen", "_tries", "_b", "_swift", *(["_rate", "_next"] if rates else []))
 
     measured = {"_step": "step"} | ({"_rate": "rate"} if rates else {})
-    steps = placed.withColumns({"_step": step} | ({"_rate": rate} if rates else {})).where("_core AND _step IS NOT NULL").select(*names, "_ctx", *measured)
+    # always true, and names what only the other branch needs, so that both have one shuffle of the same columns
+    alike = F.coalesce(F.length(F.col("_id").cast("string")) + F.col("_seen") >= 0, F.lit(True))
+    steps = placed.withColumns({"_step": step} | ({"_rate": rate} if rates else {})).where(F.col("_core") & F.col("_step").isNotNull() & alike).select(*names, "_ctx", *measured)
     quartiles = context_quartiles(steps, names, "_ctx", measured, context_least)
     right = quartiles.select(*[F.col(n).alias(f"q{n}") for n in [*names, "_ctx"]], *[x for n in measured.values() for x in (n, f"{n}_all")])
     judged = candidates.join(right, _same([*names, "_ctx"], [f"q{n}" for n in [*names, "_ctx"]]), "left")
